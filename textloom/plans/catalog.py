@@ -1,0 +1,11 @@
+"""All registered queries of the engine with their oracle SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
