@@ -23,6 +23,13 @@ def op4_token_files(spark, sf_dir):
     return token_files.read_documents(shards)
 
 
+def op5_simhash(spark, sf_dir):
+    from textloom.llm import simhash
+
+    found = simhash.group(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_url_filter(spark, sf_dir):
     from textloom.llm import url_filter
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +202,7 @@ class WordCachedTokenizer:
     are encoded together; texts with an added token's string go to the library whole.
     """
 
-    LIMIT = 300_000  # words kept; bounds a worker's memory
+    LIMIT = 600_000  # words kept; bounds a worker's memory
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -221,20 +222,23 @@ class WordCachedTokenizer:
     def learn(self, words: list[str]) -> None:
         """Give ``words`` (all unknown) their numbers."""
         lengths, got = [], []
-        simple = [w for w in words if len(w) > 1 and w[0] == " " and w[1:].isalpha() and w[1:].isascii()]
+        simple = [w for w in words if w[0] == " " and w[1:].isalpha()]
         rest = set(words).difference(simple)
         order = simple + list(rest)
         for k in range(0, len(simple), 4000):  # " word word": the library cuts them apart again
             part = simple[k : k + 4000]
             e = self.tokenizer.encode("".join(part), add_special_tokens=False)
             n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            if len(n) != len(part):
-                raise ValueError("the vocabulary's pattern doesn't split words as expected")
-            lengths.append(n)
-            got.append(np.array(e.ids, np.int32))
-        for e in self.tokenizer.encode_batch_fast(order[len(simple) :], add_special_tokens=False):
-            lengths.append(np.array([len(e.ids)], np.int64))
-            got.append(np.array(e.ids, np.int32))
+            if len(n) == len(part):
+                lengths.append(n)
+                got.append(np.array(e.ids, np.int32))
+            else:  # letters that the library's tables don't know as such: one by one
+                single = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                lengths.append(np.array([len(x) for x in single], np.int64))
+                got.append(np.array([i for x in single for i in x], np.int32))
+        single = [x.ids for x in self.tokenizer.encode_batch_fast(order[len(simple) :], add_special_tokens=False)]
+        lengths.append(np.array([len(x) for x in single], np.int64))
+        got.append(np.array([i for x in single for i in x], np.int32))
         first = len(self.known)
         self.known.update(zip(order, range(first, first + len(order))))
         ids = np.concatenate(got)
@@ -255,7 +259,7 @@ class WordCachedTokenizer:
             self.learn(list(new))
         number = self.known.__getitem__
         each = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter((x for w in words for x in map(number, w)), np.int64, int(each.sum()))
+        flat = np.fromiter(map(number, chain.from_iterable(words)), np.int64, int(each.sum()))
         begin, size = self.stop[flat], self.stop[flat + 1] - self.stop[flat]
         total = int(size.sum())
         where = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
