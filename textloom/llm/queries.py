@@ -14,6 +14,12 @@ def op1_feistel_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    from textloom.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -30,6 +36,12 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark, sf_dir):
+    from textloom.llm import decontaminate
+
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
 def op9_url_filter(spark, sf_dir):
     from textloom.llm import url_filter
 

@@ -42,7 +42,7 @@ NO_ID = -(2**63)
 # --- Re-Pair -----------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 4, min_count: int = 16, per_round: int = 4096):
+def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, min_count: int = 16, per_round: int = 4096):
     """Compress ``ids``; ``ends`` marks the last id of each document.
 
     Every round counts all neighbouring pairs, takes the ``per_round`` most frequent that
@@ -105,24 +105,38 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Replace nonterminals until only ids are left: one pass per level of the grammar."""
-    seq = symbols.astype(np.int64)
-    while len(seq) and (big := seq >= base).any():
-        out = np.empty(len(seq) + int(big.sum()), np.int64)
-        at = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(big)[:-1]])
-        rule = rules[seq[big] - base]
-        out[at[~big]] = seq[~big]
-        out[at[big]] = rule[:, 0]
-        out[at[big] + 1] = rule[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Replace nonterminals by the ids they stand for: every rule is expanded once, then copied."""
+    big = symbols >= base
+    if not len(rules) or not big.any():
+        return symbols.astype(np.int64)
+    lengths = expansion_lengths(rules, base) if lengths is None else lengths.astype(np.int64)
+    flat = np.arange(base, base + len(rules))
+    while (open_ := flat >= base).any():  # a pass per level of the grammar, over the rules only
+        out = np.empty(len(flat) + int(open_.sum()), np.int64)
+        at = np.arange(len(flat)) + np.cumsum(open_) - open_
+        rule = rules[flat[open_] - base]
+        out[at[~open_]] = flat[~open_]
+        out[at[open_]] = rule[:, 0]
+        out[at[open_] + 1] = rule[:, 1]
+        flat = out
+    number = symbols[big].astype(np.int64) - base
+    size = np.ones(len(symbols), np.int64)
+    size[big] = lengths[number]
+    stop = np.cumsum(size)
+    out = np.empty(int(stop[-1]), np.int64)
+    out[stop[~big] - 1] = symbols[~big]
+    first = np.cumsum(lengths) - lengths
+    n = lengths[number]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[inside + np.repeat((stop - size)[big], n)] = flat[inside + np.repeat(first[number], n)]
+    return out
 
 
 # --- one shard file ----------------------------------------------------------------------
 
 
-def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, rounds: int = 4) -> bytes:
+def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, rounds: int = 3) -> bytes:
     """The bytes of a shard: ``lengths`` counts each document's ids, its end id included."""
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
     ends = np.zeros(len(ids), bool)
@@ -168,10 +182,10 @@ class Shard:
         self.symbols = take("<u4", symbols)
 
     def decode_all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        return expand(self.symbols, self.rules, self.base, self.lengths)
 
     def decode_document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.symbol_starts[k] : self.symbol_starts[k + 1]], self.rules, self.base)
+        return expand(self.symbols[self.symbol_starts[k] : self.symbol_starts[k + 1]], self.rules, self.base, self.lengths)
 
     def decode_range(self, first: int, stop: int) -> np.ndarray:
         """Ids ``first`` to ``stop`` of the shard; expands only the symbols that cover them."""
@@ -186,7 +200,7 @@ class Shard:
         size[big] = self.lengths[part[big] - self.base]
         stops = int(self.starts[d]) + np.cumsum(size)
         i, j = int(np.searchsorted(stops, first, "right")), int(np.searchsorted(stops, stop, "left")) + 1
-        out = expand(part[i:j], self.rules, self.base)
+        out = expand(part[i:j], self.rules, self.base, self.lengths)
         begin = int(stops[i] - size[i])
         return out[first - begin : stop - begin]
 
@@ -277,7 +291,7 @@ class WordCachedTokenizer:
 # --- the corpus --------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and write all documents; the table of shard files:
     part, seq (order within part), n_ids, blob. Rows follow ascending ids over (part, seq)."""
     spark = docs.sparkSession
