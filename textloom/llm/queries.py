@@ -36,6 +36,12 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_tag_path_text(spark, sf_dir):
+    from textloom.llm import html_main
+
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark, sf_dir):
     from textloom.llm import decontaminate
 
