@@ -20,6 +20,13 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op3_toxicity_chain(spark, sf_dir):
+    from textloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_files(spark, sf_dir):
     import public_tokenizers
 

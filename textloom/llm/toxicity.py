@@ -7,7 +7,8 @@ texts it hasn't seen.
 
 The categories, in order, come from the labels table: ``low_quality`` (quality 0),
 ``toxic`` (toxic 1) and ``abusive`` (toxic 1 in text of quality 1). A document is rejected
-if its probability of ``toxic`` reaches the threshold.
+if its probability of ``toxic`` reaches a threshold, which is chosen on the out-of-fold
+predictions where none is given.
 
 Inputs are the presence of words and of words' first four and five letters (which
 stand in for stems, in any language). Which of them count is chosen by their
@@ -84,7 +85,7 @@ class Reader:
 # --- the chain ---------------------------------------------------------------------------
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 400) -> np.ndarray:
     """Weights and, last, the bias; L2-penalised, by accelerated gradient steps."""
     n, d = x.shape
     share = y.mean() if n else 0.0
@@ -113,6 +114,14 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray, low: float = 0.2, high: float = 0.8) -> float:
+    """Where F1 is best, between ``low`` and ``high``; the middle of the best stretch."""
+    grid = np.linspace(low, high, 61)
+    f1 = np.array([2 * (y[p >= t]).sum() / max(1.0, (p >= t).sum() + y.sum()) for t in grid])
+    good = grid[f1 >= f1.max() - 1e-12]
+    return float(np.median(good)) if y.any() else 0.5
+
+
 class Chain:
     """Models of all categories over binary inputs and the earlier categories' probabilities."""
 
@@ -120,7 +129,8 @@ class Chain:
         self.chosen, self.weights, self.threshold = chosen, weights, threshold
 
     @staticmethod
-    def fit(chosen: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, threshold: float = 0.5) -> "Chain":
+    def fit(chosen: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, threshold: float | None = None) -> "Chain":
+        """Without a threshold, the one of best F1 over the out-of-fold predictions of ``toxic`` is taken."""
         weights, earlier = [], np.zeros((len(x), 0), x.dtype)
         for k in range(y.shape[1]):
             full = np.hstack([x, earlier])
@@ -130,7 +140,8 @@ class Chain:
                 out[~rest] = probability(full[~rest], fit_logistic(full[rest], y[rest, k]) if rest.any() else np.zeros(full.shape[1] + 1))
             weights.append(fit_logistic(full, y[:, k]))
             earlier = np.hstack([earlier, out[:, None].astype(x.dtype)])
-        return Chain(chosen, weights, threshold)
+        k = CATEGORIES.index("toxic")
+        return Chain(chosen, weights, best_threshold(earlier[:, k], y[:, k]) if threshold is None else threshold)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         earlier = np.zeros((len(x), 0), x.dtype)
@@ -149,7 +160,7 @@ def dense(found: list[set[int]], width: int) -> np.ndarray:
 # --- the corpus --------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float | None = None) -> Chain:
     spark = docs.sparkSession
     small_batches(spark)
     marks = (
@@ -203,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     x = dense([set(r["found"]) for r in got], len(inputs))
     y = np.array([[r[c] for c in CATEGORIES] for r in got], float).reshape(-1, len(CATEGORIES))
     if not len(got):
-        return Chain(inputs, [np.array([*np.zeros(len(inputs) + k), -50.0]) for k in range(len(CATEGORIES))], threshold)
+        return Chain(inputs, [np.array([*np.zeros(len(inputs) + k), -50.0]) for k in range(len(CATEGORIES))], 0.5)
     return Chain.fit(inputs, x, y, np.array([r["fold"] for r in got]), threshold)
 
 
