@@ -61,6 +61,13 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_surrogates(spark, sf_dir):
+    from textloom.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymised(docs, count_col="n_replaced")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
