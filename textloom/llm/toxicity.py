@@ -60,7 +60,7 @@ def inputs_of(word: str) -> tuple[int, ...]:
 class Reader:
     """Chosen inputs that a text has; words are looked up once and remembered, up to a limit."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, chosen: np.ndarray | None = None):
         self.place = None if chosen is None else {int(h): k for k, h in enumerate(chosen)}
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
         .withColumn("abusive", ((F.col("toxic") == 1) & (F.col("low_quality") == 0)).cast("int"))
     )
     chosen_ids = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).withColumn("fold", F.pmod(F.shiftright("h", 8), F.lit(FOLDS)).cast("int"))
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen_ids.drop("h"), "doc_id"), "toxicity-sample")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen_ids.drop("h")), "doc_id"), "toxicity-sample")  # ``sample`` rows at most
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
     n, sizes = total["n"], np.array([total[c] for c in CATEGORIES], float)
 
