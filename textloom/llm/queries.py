@@ -55,6 +55,14 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op8_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    from textloom.llm import pieces
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark, sf_dir):
     from textloom.llm import url_filter
 
