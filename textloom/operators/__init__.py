@@ -1,0 +1 @@
+"""Operators by subject; each takes and returns columns or DataFrames."""
