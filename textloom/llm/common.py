@@ -95,3 +95,33 @@ def numbered(df: DataFrame, order: list[str], label: str) -> tuple[DataFrame, in
         .drop("_p", "_m", "_offset")
     )
     return out, total
+
+
+def tidied(function):
+    """A mapInArrow function that, at its partition's end, gives freed memory back to the system.
+
+    Python workers are reused, and what one stage has freed would otherwise stay with the
+    process while the next one needs memory of its own.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches, stored
+from textloom.llm.common import small_batches, stored, tidied
 
 #: A benchmark larger than this many bytes of text is searched in parts, a pass each.
 PHRASE_BYTES = 4 << 20
 #: Bytes of text in one index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 
 _IS_WORD = np.zeros(256, bool)
@@ -291,8 +291,9 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """Search one part of the benchmark; ``docs`` has the spans and items of earlier parts."""
+def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, cut: bool = False) -> DataFrame:
+    """Search one part of the benchmark; ``docs`` has the spans and items of earlier parts.
+    With ``cut`` the texts come back without all spans."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(items)  # PHRASE_BYTES of text at most
@@ -308,7 +309,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
             return pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([r["doc_id"] for r in held], pa.int64()),
-                    "text": pa.array([r["text"] for r in held], pa.string()),
+                    "text": pa.array([remove(r["text"], s) if cut else r["text"] for r, s in zip(held, spans)], pa.string()),
                     "n_words": pa.array(n_words, pa.int64()),
                     "spans": pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], spans_type),
                     "items": pa.array([sorted(f.union(r["items"])) for r, f in zip(held, found)], pa.list_(pa.string())),
@@ -327,10 +328,10 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """Per document: doc_id, text, n_words, spans (merged, in words), items (sorted ids), and
     the columns named in ``carry`` as a struct ``rest``."""
     found = docs.select(
@@ -344,7 +345,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     parts = _parts(benchmark, item_col, item_text_col)
     for k, part in enumerate(parts):
         items = [(r["item"], r["text"]) for r in part.collect()]
-        found = _pass(found, items, window)
+        found = _pass(found, items, window, cut and k + 1 == len(parts))
         if k + 1 < len(parts):
             found = stored(found, "decontaminate")
     return found
@@ -358,16 +359,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     """``docs`` (same columns) without the benchmark's passages: hit spans are cut out of the
     texts, and a document of which no word is left goes. Other documents stay as they are."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = scan(docs, benchmark, window, carry=others)
-
-    def cut(batches):
-        for batch in batches:
-            texts = [remove(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
-
-    some = found.where((F.size("spans") == 0) | (n_hit() < F.col("n_words")))
-    kept = some.mapInArrow(cut, some.schema)
+    found = scan(docs, benchmark, window, carry=others, cut=True)
+    kept = found.where((F.size("spans") == 0) | (n_hit() < F.col("n_words")))
     return kept.select(*[F.col("rest")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 

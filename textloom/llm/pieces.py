@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches
+from textloom.llm.common import small_batches, tidied
 
 SPACE = "▁"
 
@@ -295,4 +295,4 @@ def digests(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ()) -> Da
             T.StructField("n_spanned", T.LongType()),
         ]
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in carry if c != "text"], "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in carry if c != "text"], "text").mapInArrow(tidied(run), schema)

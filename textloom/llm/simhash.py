@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, small_batches, stored
+from textloom.llm.common import forget, small_batches, stored, tidied
 from textloom.llm.components import connected_components
 
 HEAVY = 1024
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 # --- bit-sliced comparison ---------------------------------------------------------------
@@ -219,11 +219,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """Edges (a, b, distance) between nodes (node, fp) with fingerprints within ``radius``."""
+def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFrame:
+    """Edges (a, b, distance) between nodes (node, fp), ``rows`` of them, with fingerprints
+    within ``radius``."""
     keyed = nodes.select("node", "fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])).alias("bucket"))
-    heavy = stored(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "simhash-heavy")
-    some = heavy.limit(1).count() > 0
+    # rows are counted by a short hash of the bucket first, which partial sums keep small; exact
+    # counts are made only where such a count is high
+    short = F.pmod("bucket", F.lit(max(1 << 12, rows * len(masks) // 128))).alias("short")
+    high = stored(keyed.groupBy(short).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("short"), "simhash-high")
+    some = high.limit(1).count() > 0
+    if some:
+        counted = keyed.select("bucket", short).join(high, "short", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+        heavy = stored(counted.select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "simhash-heavy")
     blocks = keyed.select("node", "fp", F.col("bucket").alias("block"), F.lit(0).cast("byte").alias("side"))
     if some:
         cut = keyed.join(heavy, "bucket", "left")
@@ -286,7 +293,7 @@ def links(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
         if held:
             yield from work(np.concatenate(held, axis=1))
 
-    return blocks.select("block", "node", "fp", "side").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long, distance long")
+    return blocks.select("block", "node", "fp", "side").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), "a long, b long, distance long")
 
 
 def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
@@ -300,7 +307,7 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     n = nodes.count()
     masks = pigeonhole_masks(n, radius) if similarity is None else sampled_masks(n, similarity)
-    edges = stored(links(nodes, masks, radius), "simhash-edges")
+    edges = stored(links(nodes, n, masks, radius), "simhash-edges")
     if similarity is not None:
         edges = stored(verified(docs, edges.select("a", "b").distinct(), words, similarity), "simhash-verified")
     found = connected_components(edges, "simhash")
@@ -323,7 +330,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
 
     used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(used, "id", "left_semi")
-    hashes = stored(texts.mapInArrow(sets, "id long, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes")), "simhash-sets")
+    hashes = stored(texts.mapInArrow(tidied(sets), "id long, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes")), "simhash-sets")
 
     def judge(batches):
         for batch in batches:
@@ -336,7 +343,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     left, right = hashes.select(F.col("id").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(judge), "a long, b long")
 
 
 def representatives(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches, stored
+from textloom.llm.common import small_batches, stored, tidied
 
 MAGIC = b"TLRP"
 HEAD = struct.Struct("<4sIQQQQ")  # magic, version, documents, symbols, rules, first nonterminal
@@ -337,7 +337,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         .sortWithinPartitions("doc_id", "_place")
         .drop("_place")
     )
-    return stored(ordered.mapInArrow(build, "part long, seq long, n_ids long, blob binary"), "token-shards")
+    return stored(ordered.mapInArrow(tidied(build), "part long, seq long, n_ids long, blob binary"), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     joined = shards.select("part", "seq", "blob").join(F.broadcast(where), ["part", "seq"]) if total < 1 << 40 else shards.select("part", "seq", "blob").join(where, ["part", "seq"])
-    return joined.select("first", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.select("first", "blob").mapInArrow(tidied(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(shards: DataFrame, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches, stored
+from textloom.llm.common import small_batches, stored, tidied
 
 #: Labelled documents that the chain is fitted on, at most.
 SAMPLE = 12_000
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
             c = np.array([count[h] for h in part], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *map(pa.array, c.T.copy())], ["input", "n", *CATEGORIES])
 
-    counts = rows.select("text", *CATEGORIES).mapInArrow(tally, "input long, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
+    counts = rows.select("text", *CATEGORIES).mapInArrow(tidied(tally), "input long, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
     counts = stored(counts.groupBy("input").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)]).where(F.col("n") >= LEAST_DOCS), "toxicity-counts")
     chosen: set[int] = set()
     for c, size in zip(CATEGORIES, sizes):
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
             found = [sorted(reader.read(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *[batch.column(c) for c in ("fold", *CATEGORIES)]], ["found", "fold", *CATEGORIES])
 
-    got = rows.select("text", "fold", *CATEGORIES).mapInArrow(narrow, "found array<int>, fold int, " + ", ".join(f"{c} int" for c in CATEGORIES)).collect() if n else []
+    got = rows.select("text", "fold", *CATEGORIES).mapInArrow(tidied(narrow), "found array<int>, fold int, " + ", ".join(f"{c} int" for c in CATEGORIES)).collect() if n else []
     got.sort()
     x = dense([set(r["found"]) for r in got], len(inputs))
     y = np.array([[r[c] for c in CATEGORIES] for r in got], float).reshape(-1, len(CATEGORIES))
@@ -237,4 +237,4 @@ def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*shown, *[T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES], T.StructField("rejected", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
