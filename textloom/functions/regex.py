@@ -91,5 +91,5 @@ def sql_test(column: str, pattern: str, flags: str = "") -> str:
 
 
 def sql_any(column: str, patterns) -> str:
-    """DuckDB: does any of (pattern, flags) occur?"""
-    return "(" + " OR ".join(sql_test(column, p, f) for p, f in patterns) + ")"
+    """DuckDB: does any of (pattern, flags, ...) occur?"""
+    return "(" + " OR ".join(sql_test(column, p[0], p[1]) for p in patterns) + ")"

@@ -5,6 +5,9 @@ All are plain expressions: no UDF, no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +39,15 @@ def savings_ratio(before, after) -> Column:
 
 
 def to_fixed_2(x) -> Column:
-    """Two decimals, ties decided on the exact binary value."""
-    return F.round(x.cast("decimal(38,30)"), 2).cast("double")
+    """Two decimals, decided on the exact binary value, ties up; for values from 0 to a million.
+
+    x is split into a part of 26 fractional bits and the rest, so that both products by 200
+    are exact and their sum has the true sign.
+    """
+    n = F.floor(x * 100)
+    head = F.floor(x * 2.0**26) / 2.0**26
+    n = F.when(200 * head - (2 * n + 1) + 200 * (x - head) >= 0, n + 1).when(200 * head - (2 * n - 1) + 200 * (x - head) < 0, n - 1).otherwise(n)
+    return n / F.lit(100.0)
 
 
 def trim(text) -> Column:
@@ -73,11 +83,20 @@ def test(text, pattern: str, flags: str = "") -> Column:
 
 
 def any_of(text, patterns) -> Column:
-    """Does any (pattern, flags) occur? Alternatives of equal flags become one pattern."""
+    """Does any (pattern, flags[, hints]) occur?
+
+    Hints are literals of which a match holds one (lower-case if the pattern ignores case);
+    texts without them skip the pattern. Patterns of equal flags without hints become one.
+    """
     by_flags: dict[str, list[str]] = {}
-    for pattern, flags in patterns:
-        by_flags.setdefault(flags, []).append(java(pattern, flags.replace("i", "")))
     out = F.lit(False)
+    for pattern, flags, *hints in patterns:
+        if hints:
+            where = F.lower(text) if "i" in flags else text
+            hinted = reduce(or_, (F.contains(where, F.lit(h)) for h in hints[0]))
+            out = out | (hinted & text.rlike(java(pattern, flags)))
+        else:
+            by_flags.setdefault(flags, []).append(java(pattern, flags.replace("i", "")))
     for flags, group in by_flags.items():
         joined = "|".join(f"(?:{p})" for p in group)
         out = out | text.rlike(f"(?i){joined}" if "i" in flags else joined)

@@ -132,7 +132,6 @@ def outline_text(text: str, ext: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip(_JS_SPACE)
 
 
-@F.pandas_udf("string")
 def _outline(texts: pd.Series, exts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else outline_text(t, e) for t, e in zip(texts, exts)])
 
@@ -144,6 +143,6 @@ def outline(df: DataFrame, text_col: str = "text", filename_col: str = "filename
     df = compress(df, text_col, filename_col, prefix="_c_").withColumn("_ext", ext)
     known = F.col("_ext").isin(*BRACE_OUTLINE, *PY_OUTLINE)
     # null goes in where the outline isn't wanted, so that no work is done there
-    df = df.withColumn("_out", _outline(F.when(known, F.col(text_col)), F.col("_ext")))
+    df = df.withColumn("_out", F.pandas_udf(_outline, "string")(F.when(known, F.col(text_col)), F.col("_ext")))
     df = df.withColumn(f"{prefix}output", F.when(known, F.col("_out")).otherwise(F.col("_c_output"))).withColumn(f"{prefix}language", F.when(known, F.col("_ext")).otherwise(F.col("_c_language")))
     return with_savings(df, text_col, prefix).drop("_ext", "_out", "_c_output", "_c_language", "_c_before_tokens", "_c_after_tokens", "_c_ratio")

@@ -103,37 +103,66 @@ def file_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def summarize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per diff the totals, highest risk, two riskiest types, three hotspots,
-    and the compact and expanded summary texts."""
-    files = file_stats(df, id_col, text_col)
-    named = F.col("path").isNotNull()
-    types = files.where(named).groupBy("id", "type").agg(F.count("*").alias("n"), F.max(risk_rank(F.col("risk"))).alias("rank"), F.min("first_pos").alias("first_pos"))
-    by_type = types.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), (-F.col("n")).alias("n"), "first_pos", "type"))), 1, 2).alias("top"), F.max("rank").alias("rank"))
+def _files(text):
+    """A1 inside the row: array of (path, at, hunks, additions, deletions), first-seen order.
+
+    The text is cut before every line that names a file; equal paths are summed.
+    """
+    mark = r"(?:(?<=\n)|\A)(?=diff --git a/[^\n]+? b/[^\n]|\+\+\+\s+b/[^\n])"
+    starts = lambda s, what: F.regexp_count(s, F.lit(rf"(?:(?<=\n)|\A){what}"))
+    head = lambda s: F.substring_index(s, "\n", 1)
+
+    def part(s):
+        git, plus = F.regexp_extract(head(s), java(GIT_PATH), 2), F.regexp_extract(head(s), java(PLUS_PATH), 1)
+        path = F.when(git != "", git).when(plus != "", plus)
+        body = F.when(path.isNull(), s).otherwise(F.substr(s, F.length(head(s)) + 2))
+        return F.struct(path.alias("path"), starts(body, "@@ ").alias("hunks"), starts(body, r"\+(?!\+\+)").alias("additions"), starts(body, "-(?!--)").alias("deletions"))
+
+    return F.transform(F.split(F.regexp_replace(text, mark, "\u0001"), "\u0001", -1), part)
+
+
+def with_summary(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """C10, A1-A3 row by row: files, hunks, additions, deletions, risk, by_type, hotspots, and
+    the compact and expanded summary texts. Nothing leaves the row."""
+    p = prefix
+    df = df.withColumn("_parts", _files(F.col(text_col)))
+    df = df.withColumn("_paths", F.filter(F.array_distinct(F.transform("_parts", lambda x: x["path"])), lambda x: x.isNotNull()))
+    total = lambda a, f: F.aggregate(a, F.lit(0), lambda n, x: n + x[f])
+
+    def record(path, i):
+        own = F.filter("_parts", lambda x: x["path"] == path)
+        churn = total(own, "additions") + total(own, "deletions")
+        return F.struct((-risk_rank(file_risk(path))).alias("r"), (-churn).alias("c"), i.alias("i"), path.alias("path"), file_type(path).alias("type"))
+
+    df = df.withColumn("_files", F.transform("_paths", record))
+    types = F.array_distinct(F.transform("_files", lambda x: x["type"]))
+
+    def kind(t, i):
+        own = F.filter("_files", lambda x: x["type"] == t)
+        return F.struct(F.array_min(F.transform(own, lambda x: x["r"])).alias("r"), (-F.size(own)).alias("n"), i.alias("i"), t.alias("type"))
+
     risk_name = lambda r: T.first_case([(r == n, name) for name, n in RANK.items()], "low")
-    by_type = by_type.select("id", risk_name(F.col("rank")).alias("risk"), F.array_join(F.transform("top", lambda t: F.concat(t["type"], F.lit("="), risk_name(-t["r"]))), ", ").alias("by_type"))
-    hot = F.when(named, F.struct((-risk_rank(F.col("risk"))).alias("r"), (-(F.col("additions") + F.col("deletions"))).alias("c"), F.col("first_pos").alias("p"), F.col("path").alias("path")))
-    totals = files.groupBy("id").agg(
-        F.greatest(F.count_if(named), F.lit(1)).alias("files"),
-        F.greatest(F.sum("hunks"), F.lit(1)).alias("hunks"),
-        F.sum("additions").alias("additions"),
-        F.sum("deletions").alias("deletions"),
-        F.transform(F.slice(F.array_sort(F.collect_list(hot)), 1, HOTSPOTS), lambda x: x["path"]).alias("hotspots"),
-    )
-    out = totals.join(by_type, "id", "left").withColumn("risk", F.coalesce("risk", F.lit("low"))).withColumn("by_type", F.coalesce("by_type", F.lit("")))
+    df = df.withColumn("_types", F.array_sort(F.transform(types, kind)))
+    df = df.withColumn(f"{p}files", F.greatest(F.size("_paths"), F.lit(1))).withColumn(f"{p}hunks", F.greatest(total(F.col("_parts"), "hunks"), F.lit(1)))
+    df = df.withColumn(f"{p}additions", total(F.col("_parts"), "additions")).withColumn(f"{p}deletions", total(F.col("_parts"), "deletions"))
+    df = df.withColumn(f"{p}risk", risk_name(F.coalesce(-F.array_min(F.transform("_files", lambda x: x["r"])), F.lit(1))))
+    df = df.withColumn(f"{p}by_type", F.array_join(F.transform(F.slice("_types", 1, 2), lambda x: F.concat(x["type"], F.lit("="), risk_name(-x["r"]))), ", "))
+    df = df.withColumn(f"{p}hotspots", F.transform(F.slice(F.array_sort("_files"), 1, HOTSPOTS), lambda x: x["path"]))
+    c = lambda name: F.col(p + name)
     compact = F.concat_ws(
         "; ",
-        F.format_string("Selected diff: files=%s, hunks=%s, +%s/-%s, risk=%s", "files", "hunks", "additions", "deletions", "risk"),
-        F.when(F.col("by_type") != "", F.concat(F.lit("byType="), "by_type")),
-        F.when(F.size("hotspots") > 0, F.concat(F.lit("hotspots="), F.array_join("hotspots", "|"))),
+        F.format_string("Selected diff: files=%s, hunks=%s, +%s/-%s, risk=%s", c("files"), c("hunks"), c("additions"), c("deletions"), c("risk")),
+        F.when(c("by_type") != "", F.concat(F.lit("byType="), c("by_type"))),
+        F.when(F.size(c("hotspots")) > 0, F.concat(F.lit("hotspots="), F.array_join(c("hotspots"), "|"))),
     )
     expanded = F.concat_ws(
         "\n",
         F.lit("Selected diff summary:"),
-        F.format_string("- Files changed: %s", "files"),
-        F.format_string("- Hunks: %s", "hunks"),
-        F.format_string("- Net lines: +%s/-%s", "additions", "deletions"),
-        F.concat(F.lit("- Risk: "), "risk", F.when(F.col("by_type") != "", F.concat(F.lit(" (by type: "), "by_type", F.lit(")"))).otherwise(F.lit(""))),
-        F.concat(F.lit("- Hotspots: "), F.when(F.size("hotspots") > 0, F.array_join("hotspots", ", ")).otherwise(F.lit("none"))),
+        F.format_string("- Files changed: %s", c("files")),
+        F.format_string("- Hunks: %s", c("hunks")),
+        F.format_string("- Net lines: +%s/-%s", c("additions"), c("deletions")),
+        F.concat(F.lit("- Risk: "), c("risk"), F.when(c("by_type") != "", F.concat(F.lit(" (by type: "), c("by_type"), F.lit(")"))).otherwise(F.lit(""))),
+        F.concat(F.lit("- Hotspots: "), F.when(F.size(c("hotspots")) > 0, F.array_join(c("hotspots"), ", ")).otherwise(F.lit("none"))),
     )
-    return out.withColumn("summary", T.truncate_preview(compact, SUMMARY_CHARS)).withColumn("expanded", expanded)
+    df = df.withColumn(f"{p}summary", T.truncate_preview(compact, SUMMARY_CHARS)).withColumn(f"{p}expanded", expanded)
+    return df.drop("_parts", "_paths", "_files", "_types")

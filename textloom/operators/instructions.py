@@ -124,11 +124,10 @@ def compress_text(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
 def _compress(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else compress_text(t) for t in texts], dtype=object)
 
 
 def compress(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Adds output and the token columns."""
-    return with_savings(df.withColumn(f"{prefix}output", _compress(F.col(text_col))), text_col, prefix)
+    return with_savings(df.withColumn(f"{prefix}output", F.pandas_udf(_compress, "string")(F.col(text_col))), text_col, prefix)

@@ -12,37 +12,37 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
-#: Lines to keep and lines to strip (a strip wins).
+#: Lines to keep and lines to strip (a strip wins), as (pattern, flags, hints).
 KEEP = [
-    (r"^\s*\d+\)\s", ""),
-    (r"Error:", "i"),
-    (r"AssertionError", "i"),
-    (r"expect\(", ""),
-    (r"Expected|Received", ""),
-    (r"^\s*>\s*\d+\s*\|", ""),
-    (r"^\s*\d+\s*\|", ""),
-    (r"at\s+\w+.*\.(ts|js|tsx|jsx):\d+", ""),
-    (r"FAILED|FAIL\b", ""),
-    (r"● ", ""),
-    (r"✗|✘|×", ""),
-    (r"\d+ (failed|passed|skipped)", "i"),
-    (r"Test Suites:|Tests:", ""),
-    (r"Call log:", "i"),
-    (r"^\s+-\s+(waiting|locator|resolved|attempting|element|unexpected|expect|navigat|received|\d+ element)", "i"),
-    (r"\[(error|err|warn|fatal)\]", "i"),
-    (r"Failed to load resource|status of \d{3}", "i"),
-    (r"\b(violat\w*|blocked|refused|denied|rejected|unauthorized|forbidden|attestation)\b", "i"),
+    (r"^\s*\d+\)\s", "", (")",)),
+    (r"Error:", "i", ("error:",)),
+    (r"AssertionError", "i", ("assertionerror",)),
+    (r"expect\(", "", ("expect(",)),
+    (r"Expected|Received", "", ("Expected", "Received")),
+    (r"^\s*>\s*\d+\s*\|", "", ("|",)),
+    (r"^\s*\d+\s*\|", "", ("|",)),
+    (r"at\s+\w+.*\.(ts|js|tsx|jsx):\d+", "", (".ts:", ".js:", ".tsx:", ".jsx:")),
+    (r"FAILED|FAIL\b", "", ("FAIL",)),
+    (r"● ", "", ("● ",)),
+    (r"✗|✘|×", "", ("✗", "✘", "×")),
+    (r"\d+ (failed|passed|skipped)", "i", (" failed", " passed", " skipped")),
+    (r"Test Suites:|Tests:", "", ("Test Suites:", "Tests:")),
+    (r"Call log:", "i", ("call log:",)),
+    (r"^\s+-\s+(waiting|locator|resolved|attempting|element|unexpected|expect|navigat|received|\d+ element)", "i", ("-",)),
+    (r"\[(error|err|warn|fatal)\]", "i", ("[",)),
+    (r"Failed to load resource|status of \d{3}", "i", ("failed to load resource", "status of ")),
+    (r"\b(violat\w*|blocked|refused|denied|rejected|unauthorized|forbidden|attestation)\b", "i", ("violat", "blocked", "refused", "denied", "rejected", "unauthorized", "forbidden", "attestation")),
 ]
 STRIP = [
-    (r"^\s*✓|^\s*✔|^\s*PASS\b", ""),
-    (r"^\s*\[.*\]\s*(chromium|firefox|webkit)", "i"),
-    (r"workers?", "i"),
-    (r"^Running\s+\d+", "i"),
-    (r"Slowest\s+\d+\s+tests", "i"),
-    (r"\s+at\s+.*node:internal", ""),
-    (r"\s+at\s+.*node_modules[/\\]", ""),
-    (r"\s+at\s+.*webpack", "i"),
-    (r"\s+at\s+.*jest-circus", "i"),
+    (r"^\s*✓|^\s*✔|^\s*PASS\b", "", ("✓", "✔", "PASS")),
+    (r"^\s*\[.*\]\s*(chromium|firefox|webkit)", "i", ("chromium", "firefox", "webkit")),
+    (r"workers?", "i", ("worker",)),
+    (r"^Running\s+\d+", "i", ("running",)),
+    (r"Slowest\s+\d+\s+tests", "i", ("slowest",)),
+    (r"\s+at\s+.*node:internal", "", ("node:internal",)),
+    (r"\s+at\s+.*node_modules[/\\]", "", ("node_modules",)),
+    (r"\s+at\s+.*webpack", "i", ("webpack",)),
+    (r"\s+at\s+.*jest-circus", "i", ("jest-circus",)),
 ]
 FRAME = (r"^\s+at\s+", "")
 FRAMES_KEPT = 3

@@ -390,7 +390,7 @@ def with_warnings(df: DataFrame, prompt_col: str, cache_col: str = "cache", file
 def fnv1a(text):
     """FNV-1a, 32 bits, over UTF-16 units, as eight hexadecimal digits."""
     wide = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(1), F.length(wide) / 4), lambda i: F.conv(F.substr(wide, (i * 4 - 3).cast("int"), F.lit(4)), 16, 10).cast("long"))
+    units = F.transform(F.sequence(F.lit(1), (F.length(wide) / 4).cast("int")), lambda i: F.conv(F.substr(wide, i * 4 - 3, F.lit(4)), 16, 10).cast("long"))
     units = F.when(F.length(wide) > 0, units).otherwise(F.array().cast("array<bigint>"))
     h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
@@ -411,7 +411,7 @@ def with_skeleton(df: DataFrame, prompt_col: str, file: str | None = None, outpu
 METADATA = ["file", "error", "output", "selection", "selection_text", "xml"]
 
 
-def optimize(df: DataFrame, prompt_col: str = "prompt", id_col: str = "id") -> DataFrame:
+def optimize(df: DataFrame, prompt_col: str = "prompt") -> DataFrame:
     """Redact, take out constraints, normalise, resolve the context, assemble, assess.
 
     Metadata columns that are absent count as not given. Adds optimized_prompt, warnings,
@@ -432,7 +432,7 @@ def optimize(df: DataFrame, prompt_col: str = "prompt", id_col: str = "id") -> D
     df = with_normalized(df, "_cleaned", "_goal")
     # A selection given outright, else a summary of the selected text; a file given, else one named
     df = df.withColumn("_chosen", F.coalesce(F.nullif("selection_text", F.lit("")), F.lit("")))
-    df = select.summaries(df, "_chosen", "file", id_col)
+    df = select.summaries(df, "_chosen", "file")
     has_text = F.col("_chosen") != ""
     df = df.withColumn("context_type", F.when(has_text, F.col("kind")).otherwise(F.lit("prompt-only")))
     df = df.withColumn("_selection", F.coalesce(F.nullif("selection", F.lit("")), F.when(has_text, F.col("summary"))))

@@ -112,8 +112,8 @@ def compress(df: DataFrame, text_col: str = "text", filename_col: str = "filenam
     return df.withColumn("after_tokens", F.when(~bad, F.col("after_tokens"))).withColumn("ratio", F.when(~bad, F.col("ratio")))
 
 
-def summaries(df: DataFrame, text_col: str = "text", filename_col: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Adds kind and a one-line summary. Only diffs need the per-file join."""
+def summaries(df: DataFrame, text_col: str = "text", filename_col: str | None = None) -> DataFrame:
+    """Adds kind and a one-line summary, row by row."""
     text = F.col(text_col)
     df = df.withColumn("kind", kind_of(text, F.col(filename_col) if filename_col else None)).withColumn("_lines", T.lines(text))
     bare = F.filter(F.transform("_lines", T.trim), lambda x: x != "")
@@ -134,14 +134,15 @@ def summaries(df: DataFrame, text_col: str = "text", filename_col: str | None =
         ],
         line("text", "Selected text"),
     )
-    df = df.withColumn("_own", own).drop("_lines")
-    diffs = diff.summarize(df.where("kind = 'diff'"), id_col, text_col).select(F.col("id").alias("_id"), F.col("summary").alias("_diff"))
-    return df.join(diffs, F.col(id_col) == F.col("_id"), "left").withColumn("summary", F.coalesce("_diff", "_own")).drop("_diff", "_own", "_id")
+    df = df.withColumn("_own", own).drop("_lines").withColumn("_diff", F.when(F.col("kind") == "diff", text))
+    df = diff.with_summary(df, "_diff", "_d_")
+    df = df.withColumn("summary", F.when(F.col("kind") == "diff", F.col("_d_summary")).otherwise(F.col("_own")))
+    return df.drop("_own", "_diff", *[c for c in df.columns if c.startswith("_d_")])
 
 
-def optimize(df: DataFrame, text_col: str = "text", filename_col: str = "filename", id_col: str = "doc_id") -> DataFrame:
+def optimize(df: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:
     """Kind, output, token columns and warnings."""
-    df = summaries(df, text_col, filename_col, id_col)
+    df = summaries(df, text_col, filename_col)
     mode = T.first_case([(F.col("kind").isin("code", "json", "output", "diff"), F.col("kind")), (F.col("kind") == "stack-trace", F.lit("output"))], F.lit(None).cast("string"))
     df = df.withColumn("_mode", F.coalesce(mode, F.lit("none"))).withColumn("_summary", F.col("summary")).drop("summary")
     df = compress(df, text_col, filename_col, "_mode").drop("mode")
@@ -151,9 +152,9 @@ def optimize(df: DataFrame, text_col: str = "text", filename_col: str = "filenam
     return with_savings(df, text_col).drop("_mode", "_summary")
 
 
-def explain(df: DataFrame, text_col: str = "text", filename_col: str = "filename", id_col: str = "doc_id") -> DataFrame:
+def explain(df: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:
     """C11: code is outlined if large, else kept with its comments; anything else as in C8."""
-    df = optimize(df, text_col, filename_col, id_col)
+    df = optimize(df, text_col, filename_col)
     is_code = F.col("kind") == "code"
     outlined = is_code & (T.estimate_tokens(text_col) >= OUTLINE_TOKENS)
     df = df.withColumn("outlined", outlined)

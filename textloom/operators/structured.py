@@ -107,14 +107,13 @@ def compress_text(text: str) -> tuple[str | None, str | None]:
     return (None, "nothing left after pruning") if value is _NOTHING else (write(shorten(value)), None)
 
 
-@F.pandas_udf("output string, error string")
 def _compress(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if t is None else compress_text(t) for t in texts], columns=["output", "error"])
 
 
 def compress(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Adds output, error (null if none) and the token columns."""
-    df = df.withColumn("_json", _compress(F.col(text_col)))
+    df = df.withColumn("_json", F.pandas_udf(_compress, "output string, error string")(F.col(text_col)))
     df = df.withColumn(f"{prefix}output", F.col("_json.output")).withColumn(f"{prefix}error", F.col("_json.error")).drop("_json")
     return with_savings(df, text_col, prefix)
 
@@ -147,14 +146,13 @@ def flatten_text(text: str) -> list[str] | None:
     return out
 
 
-@F.pandas_udf("array<string>")
-def flatten(texts: pd.Series) -> pd.Series:
+def _flatten(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else flatten_text(t) for t in texts], dtype=object)
 
 
 def flat_paths(text, wanted=None):
     """Flattened lines of the text; null where it is no JSON (or not ``wanted``)."""
-    return flatten(text if wanted is None else F.when(wanted, text))
+    return F.pandas_udf(_flatten, "array<string>")(text if wanted is None else F.when(wanted, text))
 
 
 def is_json_like(text):
