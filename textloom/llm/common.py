@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch handed to Python: texts may be long, so rows alone are no bound.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

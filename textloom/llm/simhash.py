@@ -206,10 +206,10 @@ def pigeonhole_masks(n: int, radius: int, bits: int = 64) -> list[int]:
 
 def sampled_masks(n: int, similarity: float, recall: float = 0.99, bits: int = 64, seed: int = 42) -> list[int]:
     """Masks of random bits: two texts of that Jaccard similarity share a bucket with
-    probability ``recall``. Bits per mask follow the number of fingerprints, so that
-    buckets stay small at any size; the number of masks follows from both."""
+    probability ``recall``. Bits per mask follow the number of fingerprints, so that a bucket
+    has about half a block's rows at any size; the number of masks follows from both."""
     agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    k = max(10, math.ceil(math.log2(max(n, 2))) - 2)
+    k = max(8, math.ceil(math.log2(max(n, 2) / PACK)) + 1)
     count = math.ceil(math.log(1 - recall) / math.log(1 - agree**k))
     draw = np.random.default_rng(seed)
     return [sum(1 << int(b) for b in draw.choice(bits, k, replace=False)) for _ in range(count)]
