@@ -101,7 +101,7 @@ def test_token_files_equal_the_library(spark, tmp_path):
     path = TOKENS.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     data = [d for d in hand(40) if d[0] is not None]
-    shards = token_files.write_shards(docs(spark, data), path, TOKENS.PATTERN, shard_ids=2000)
+    shards = token_files.write_shards(docs(spark, data), path, shard_ids=2000)
     got = sorted(tuple(r) for r in token_files.read_documents(shards).collect())
     want, start = [], 0
     texts = {}
@@ -118,15 +118,49 @@ def test_token_files_equal_the_library(spark, tmp_path):
 
 
 def test_token_files_empty(spark):
-    shards = token_files.write_shards(docs(spark, []), TOKENS.path("byte_bpe_50k.json"), TOKENS.PATTERN)
+    shards = token_files.write_shards(docs(spark, []), TOKENS.path("byte_bpe_50k.json"))
     assert token_files.read_documents(shards).collect() == []
 
 
+def test_words_equal_the_pattern():
+    """Random texts of awkward pieces: the same words as the published pattern's."""
+    import random
+
+    import regex
+
+    rng, cut, classes = random.Random(1), regex.compile(TOKENS.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"[^\p{White_Space}", r"[^\p{White_Space}")), token_files.character_classes()
+    pieces = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "a", "bc", "É", "漢", "1", "23", "½", "²", "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'x", "!", "--", "🙂", "_", "\x1c", "\x00", "s", "ll"]
+    for _ in range(3000):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(1, 4))]
+        joined = "".join(texts)
+        if not joined:
+            continue
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        size = np.array([len(t) for t in texts])
+        starts = token_files.word_starts(points, classes[points], (np.cumsum(size) - size)[size > 0])
+        got = [joined[i:j] for i, j in zip(starts, [*starts[1:], len(joined)])]
+        assert got == [w for t in texts for w in cut.findall(t)], texts
+
+
+def test_random_texts_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = TOKENS.path("byte_bpe_50k.json")
+    encoder, library, rng = token_files.WordCachedTokenizer(path), Tokenizer.from_file(path), random.Random(2)
+    pieces = [" ", "  ", "\n", "\u00a0", "hello", "World", "É", "漢字", "123", "½", "'", "'s", "'re", "'ll", "'x", "!", "🙂", "\x1c", "\x85", "\u200b", "x" * 300, "<|endoftext|>", "ǅ", "ß"]
+    for _ in range(150):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 15))) for _ in range(4)]
+        ids, n = encoder.encode(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
 def test_word_cache_survives_forgetting():
     from tokenizers import Tokenizer
 
     path = TOKENS.path("byte_bpe_50k.json")
-    encoder, library = token_files.WordCachedTokenizer(path, TOKENS.PATTERN), Tokenizer.from_file(path)
+    encoder, library = token_files.WordCachedTokenizer(path), Tokenizer.from_file(path)
     encoder.LIMIT = 5
     texts = ["a b c d e f g h", " lead  two", "x'll don't ½² 漢字\n\n\té", "<|endoftext|>", "", "ab " * 50]
     for part in (texts[:3], texts[3:], texts):

@@ -32,7 +32,7 @@ def op4_token_files(spark, sf_dir):
 
     from textloom.llm import token_files
 
-    shards = token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    shards = token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_documents(shards)
 
 

@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,45 +41,44 @@ NO_ID = -(2**63)
 # --- Re-Pair -----------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, min_count: int = 16, per_round: int = 4096):
+def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, min_count: int = 16, per_round: int = 4096, bits: int = 20):
     """Compress ``ids``; ``ends`` marks the last id of each document.
 
-    Every round counts all neighbouring pairs, takes the ``per_round`` most frequent that
-    occur ``min_count`` times or more, and replaces their occurrences (of overlapping
-    ones the more frequent pair wins, then the earlier). Returns symbols, their end
-    marks, rules (n x 2) and the first nonterminal's number.
+    Every round counts all neighbouring pairs in a hashed table, a pair per slot (the last one
+    seen; pairs that lose their slot get another in the next round), takes the ``per_round``
+    most frequent that occur ``min_count`` times or more, and replaces their occurrences (of
+    overlapping ones the more frequent pair wins, then the earlier). Returns symbols, their
+    end marks, rules (n x 2) and the first nonterminal's number.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, last = ids.astype(np.int64), ends.copy()
     rules: list[np.ndarray] = []
     n_rules = 0
-    bits = 20
-    for _ in range(rounds):
+    owner = np.zeros(1 << bits, np.int64)
+    for r in range(rounds):
         if len(seq) < 2:
             break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << bits) - 1)
+        key = seq[:-1] << 32 | seq[1:]
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * r) >> np.uint64(64 - bits)).view(np.int64)
+        slot[last[:-1]] = 0  # pairs across documents, all of them, never become rules
+        owner[slot] = key
+        owner[0] = -1
+        slot[owner[slot] != key] = 0
         counts = np.bincount(slot, minlength=1 << bits)
-        at = np.flatnonzero((counts[slot] >= min_count) & ~last[:-1])  # hashed counts only rule pairs out
-        if not len(at):
-            break
-        pair, inverse, exact = np.unique((a[at] << 32) | b[at], return_inverse=True, return_counts=True)
-        chosen = np.argsort(-exact, kind="stable")[:per_round]
-        chosen = chosen[exact[chosen] >= min_count]
+        counts[0] = 0
+        chosen = np.flatnonzero(counts >= min_count)
         if not len(chosen):
             break
-        rank = np.full(len(pair), -1, np.int32)
+        chosen = chosen[np.lexsort((owner[chosen], -counts[chosen]))[:per_round]]
+        rank = np.full(1 << bits, 1 << 30, np.int32)
         rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-        here = np.full(len(seq) + 1, len(pair) + 1, np.int32)  # rank of the pair that starts at i (shifted by one)
-        r = rank[inverse]
-        here[at[r >= 0] + 1] = r[r >= 0]
+        here = np.full(len(seq) + 1, 1 << 30, np.int32)  # rank of the pair that starts at i, shifted by one
+        here[1:-1] = rank[slot]
         mid = here[1:-1]
-        right = here[2:]
-        take = np.flatnonzero((mid <= len(pair)) & (mid < here[:-2]) & (mid <= right[: len(mid)]))
-        if not len(take):
-            break
+        take = np.flatnonzero((mid < 1 << 30) & (mid < here[:-2]) & (mid <= here[2:]))
         used, new = np.unique(mid[take], return_inverse=True)
-        rules.append(np.stack([pair[chosen[used]] >> 32, pair[chosen[used]] & 0xFFFFFFFF], axis=1))
+        pair = owner[chosen[used]]
+        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1))
         seq[take] = base + n_rules + new
         last[take] = last[take + 1]
         n_rules += len(used)
@@ -208,90 +206,226 @@ class Shard:
 # --- tokenising --------------------------------------------------------------------------
 
 
+OTHER, LETTER, NUMBER, SPACE = range(4)
+_CUT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two word hashes
+
+
+def character_classes() -> np.ndarray:
+    """Class of each code point, as the published pattern tells them apart."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *[0x20] * 0x800, *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[0xD800:0xE000] = OTHER
+    return out
+
+
+def word_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pre-tokeniser's words begin, for texts in a row; ``first`` are the texts' first places.
+
+    Its pattern, alternative by alternative: contractions; runs of letters, of numbers or of
+    other marks, each with one space before it; white space up to the last one before a word;
+    a last one that isn't a space stands alone.
+    """
+    n = len(points)
+    begins = np.zeros(n + 1, bool)
+    begins[first] = begins[n] = True
+    run = begins.copy()
+    run[1:n] |= kind[1:] != kind[:-1]
+    start = run[:n].copy()
+    space = kind == SPACE
+    word = np.flatnonzero(run[:n] & ~space & ~begins[:n])  # runs with something before them in the text
+    before = word[space[word - 1]] - 1  # the last white space of each run that a word follows
+    start[before] = True
+    start[before[points[before] == 0x20] + 1] = False
+    mark = np.flatnonzero((points == 0x27) & start)
+    mark = mark[run[mark + 1] & ~begins[mark + 1]]
+    if len(mark):
+        ended = np.append(points, 0)
+        ended = np.append(ended, 0)
+        a, b = ended[mark + 1], ended[mark + 2]
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = ~begins[np.minimum(mark + 2, n)] & (((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l"))))
+        for size, at in ((1, mark[one]), (2, mark[two])):
+            start[at + 1] = False
+            rest = at + 1 + size
+            rest = rest[rest < n]
+            start[rest[~run[rest]]] = True  # what is left of the run of letters
+    return np.flatnonzero(start)
+
+
 class WordCachedTokenizer:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
     The library splits a text into words by the vocabulary's published pattern and
-    merges inside words only, so a text's ids are its words' ids in a row. Unknown words
-    are encoded together; texts with an added token's string go to the library whole.
+    merges inside words only, so a text's ids are its words' ids in a row. Words are cut
+    and hashed for a whole batch at once; a direct-mapped table finds the ids of known
+    ones, unknown ones are encoded together and remembered. Two 64-bit hashes tell words
+    apart; words too long for the hashes' powers, and texts with an added token's string,
+    go to the library whole.
     """
 
-    LIMIT = 600_000  # words kept; bounds a worker's memory
+    LIMIT = 1_200_000  # words kept; bounds a worker's memory to some 100 MB
+    LONGEST = 128
+    BITS = 22
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.classes = character_classes()
+        with np.errstate(over="ignore"):
+            self.powers = [np.multiply.accumulate(np.full(self.LONGEST + 1, c, np.uint64)) for c in _CUT]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.stop = np.zeros(1, np.int64)  # where each known word's ids stop, after a leading 0
-
-    def learn(self, words: list[str]) -> None:
-        """Give ``words`` (all unknown) their numbers."""
-        lengths, got = [], []
-        simple = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = set(words).difference(simple)
-        order = simple + list(rest)
-        for k in range(0, len(simple), 4000):  # " word word": the library cuts them apart again
-            part = simple[k : k + 4000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            if len(n) == len(part):
-                lengths.append(n)
-                got.append(np.array(e.ids, np.int32))
-            else:  # letters that the library's tables don't know as such: one by one
-                single = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                lengths.append(np.array([len(x) for x in single], np.int64))
-                got.append(np.array([i for x in single for i in x], np.int32))
-        single = [x.ids for x in self.tokenizer.encode_batch_fast(order[len(simple) :], add_special_tokens=False)]
-        lengths.append(np.array([len(x) for x in single], np.int64))
+        self.slot = np.full(1 << self.BITS, -1, np.int32)
+        self.one, self.two = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.ids = np.zeros(1 << 17, np.int32)
+        self.stop = np.zeros(1 << 16, np.int64)  # where each word's ids stop, after a leading 0
+        self.words = 0
+
+    def _room(self, name: str, size: int) -> None:
+        a = getattr(self, name)
+        if size > len(a):
+            setattr(self, name, np.concatenate([a, np.zeros(max(len(a), size - len(a)), a.dtype)]))
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, in a row, and how many."""
+        simple = np.array([len(w) > 1 and w[0] == " " and w[1:].isalpha() for w in words], bool)
+        sizes = np.zeros(len(words), np.int64)
+        at = np.flatnonzero(simple)
+        got, order = [], []
+        for k in range(0, len(at), 4000):  # " word word": the library cuts them apart again
+            here = at[k : k + 4000]
+            e = self.tokenizer.encode("".join([words[i] for i in here]), add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(here))
+            if len(n) != len(here):  # letters that the library's tables don't know as such
+                simple[here] = False
+                continue
+            sizes[here] = n
+            got.append(np.array(e.ids, np.int32))
+            order.append(here)
+        rest = np.flatnonzero(~simple)
+        single = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in single]
         got.append(np.array([i for x in single for i in x], np.int32))
-        first = len(self.known)
-        self.known.update(zip(order, range(first, first + len(order))))
-        ids = np.concatenate(got)
-        stop = self.stop[-1] + np.cumsum(np.concatenate(lengths))
-        if stop[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(stop[-1])), np.int32)])
-        self.ids[self.stop[-1] : stop[-1]] = ids
-        self.stop = np.concatenate([self.stop, stop])
+        order.append(rest)
+        order, flat = np.concatenate(order), np.concatenate(got)
+        # ids came in the order of ``order``; put them into the order of ``words``
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[_runs(begin, sizes)], sizes
+
+    def _learn(self, words: list[str], one: np.ndarray, two: np.ndarray) -> None:
+        ids, sizes = self._encoded(words)
+        n, total = self.words, int(self.stop[self.words])
+        for name in ("one", "two"):
+            self._room(name, n + len(words))
+        self._room("stop", n + len(words) + 1)
+        self._room("ids", total + len(ids))
+        self.one[n : n + len(words)], self.two[n : n + len(words)] = one, two
+        self.ids[total : total + len(ids)] = ids
+        self.stop[n + 1 : n + len(words) + 1] = total + np.cumsum(sizes)
+        self.slot[one >> np.uint64(64 - self.BITS)] = np.arange(n, n + len(words), dtype=np.int32)
+        self.words = n + len(words)
+
+    def _numbers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Number of each known word, -1 for others."""
+        at = self.slot[one >> np.uint64(64 - self.BITS)]
+        return np.where((at >= 0) & (self.one[at] == one) & (self.two[at] == two), at, -1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has."""
-        if len(self.known) > self.LIMIT:
-            self.forget()
         whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        words = [[] if k in whole else self.split(t) for k, t in enumerate(texts)]
-        new = set().union(*words).difference(self.known) if words else set()
-        if new:
-            self.learn(list(new))
-        number = self.known.__getitem__
-        each = np.array([len(w) for w in words], np.int64)
-        flat = np.fromiter(map(number, chain.from_iterable(words)), np.int64, int(each.sum()))
-        begin, size = self.stop[flat], self.stop[flat + 1] - self.stop[flat]
-        total = int(size.sum())
-        where = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
-        ids = self.ids[where]
-        bound = np.concatenate([[0], np.cumsum(size)])
-        n = np.diff(bound[np.concatenate([[0], np.cumsum(each)])])
-        if whole:
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for k, x in whole.items():
-                parts[k] = np.array(x, np.int32)
-            ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
+        plain = [t for k, t in enumerate(texts) if k not in whole]
+        ids, n = self._encode_plain(plain)
+        if not whole:
+            return ids, n
+        parts, counts, at = [], [], 0
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for k in range(len(texts)):
+            if k in whole:
+                part = np.array(whole[k], np.int32)
+            else:
+                part = ids[ends[at] : ends[at + 1]]
+                at += 1
+            parts.append(part)
+            counts.append(len(part))
+        return np.concatenate(parts), np.array(counts, np.int64)
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "".join(texts)
+        size = np.array([len(t) for t in texts], np.int64)
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        if self.words > self.LIMIT:
+            self.forget()
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        first = (np.cumsum(size) - size)[size > 0]
+        begin = word_starts(points, self.classes[points], first)
+        length = np.diff(np.append(begin, len(points)))
+        place = np.arange(len(points)) - np.repeat(begin, length)
+        long = length > self.LONGEST
+        if long.any():
+            np.minimum(place, self.LONGEST, out=place)
+        with np.errstate(over="ignore"):
+            wide = points.astype(np.uint64) + np.uint64(1)
+            one, two = (_spread(np.add.reduceat(wide * p[place], begin), length) for p in self.powers)
+        number = self._numbers(one, two)
+        number[long] = -1
+        missing = np.flatnonzero((number < 0) & ~long)
+        if len(missing):
+            new, at = np.unique(one[missing], return_index=True)
+            at = missing[at]
+            self._learn([joined[i : i + n] for i, n in zip(begin[at].tolist(), length[at].tolist())], new, two[at])
+            number[missing] = self._numbers(one[missing], two[missing])
+        odd = np.flatnonzero(number < 0)  # long words, and words whose place in the table another one took
+        start, count = self.stop[number], self.stop[number + 1] - self.stop[number]
+        if len(odd):
+            extra, sizes = self._encoded([joined[i : i + n] for i, n in zip(begin[odd].tolist(), length[odd].tolist())])
+            base = int(self.stop[self.words])
+            self._room("ids", base + len(extra))
+            self.ids[base : base + len(extra)] = extra  # beyond the known words' ids; the next one learnt overwrites it
+            start[odd], count[odd] = base + np.cumsum(sizes) - sizes, sizes
+        ids = self.ids[_runs(start, count)]
+        of = np.searchsorted(first, begin, "right") - 1
+        n = np.zeros(len(texts), np.int64)
+        n[size > 0] = np.bincount(of, weights=count, minlength=len(first)).astype(np.int64)
         return ids, n
 
 
+_SHARED: dict[str, WordCachedTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> WordCachedTokenizer:
+    """A worker's tokenizer, with the words that its earlier tasks have met."""
+    if path not in _SHARED:
+        _SHARED[path] = WordCachedTokenizer(path)
+    return _SHARED[path]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] places, then the same for the next."""
+    stop = np.cumsum(size)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - size), size)
+
+
+def _spread(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    x = x ^ (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 # --- the corpus --------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and write all documents; the table of shard files:
     part, seq (order within part), n_ids, blob. Rows follow ascending ids over (part, seq)."""
     spark = docs.sparkSession
@@ -301,7 +435,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = WordCachedTokenizer(tokenizer_path, pattern)
+        encoder = shared_tokenizer(tokenizer_path)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
