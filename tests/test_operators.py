@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import regex
 from textloom.functions import text as T
-from textloom.operators import advisor, code, diff, evals, instructions, output, prompt, readiness, runs, secrets, select, structured
+from textloom.operators import advisor, code, diff, evals, instructions, output, prompt, readiness, reports, runs, secrets, select, structured
 
 
 def rows(spark, schema, data):
@@ -435,3 +435,24 @@ def test_resolve_output(spark):
 def test_rule_matches(spark):
     d = evals.rule_matches(rows(spark, "text string", [("abc",), ("x",)]), rows(spark, "id string, pattern string", [("r1", "b"), ("r2", "^a")]))
     assert [r.rules for r in d.collect()] == [["r1", "r2"], []]
+
+
+def test_generated_scanner_agrees(spark):
+    d = rows(spark, "file string, text string", [("a", "x\nghp_" + "a" * 40 + "\nAKIA" + "B" * 16), ("b", "clean")])
+    d.createOrReplaceTempView("scanned_files")
+    assert sorted(map(tuple, spark.sql(secrets.scanner_sql("scanned_files")).collect())) == sorted(map(tuple, secrets.scan(d).collect()))
+
+
+def test_reports(spark):
+    d = rows(spark, "id string, t string", [("1", "rename a variable")]).withColumn("advice", advisor.classify_task(F.col("t")))
+    text = reports.markdown(reports.advice_report(d), "Advice", ["id"]).first().markdown
+    assert text == "# Advice\n\n- Tier: economy\n- Route: completion-or-base\n- Signals: cheap/mechanical: rename"
+    p = rows(spark, "id string, groups array<array<string>>", [("q", [["yes"]]), ("r", [])])
+    a = rows(spark, "id string, variant string, output string, kept_main_idea boolean, kept_reason boolean, kept_next_action boolean, kept_safety boolean", [("q", "baseline", "no", True, False, None, True)])
+    got = {r.id: r for r in reports.direct_answer_report(p, a).collect()}
+    assert (got["q"].tokens, got["q"].missing, got["q"].kept_main_idea, got["q"].kept_reason, got["q"].kept_next_action) == (1, "yes", "pass", "fail", "review") and got["r"].variant is None
+    w = rows(spark, WORKSPACE, [("none", False, 0, False, False, False, False, 0, 0, 0, False, None, 1)])
+    assert "- Verdict: Incomplete" in reports.markdown(reports.readiness_report(w), "Readiness", ["name"]).first().markdown
+    got = reports.agent_compress(rows(spark, "text string, filename string", [("  ", None), ("Error: token ghp_" + "a" * 40, None)])).collect()
+    assert got[0].output is None and got[0].note == "No text to compress." and "ghp_" not in got[1].output
+    assert reports.clipboard_bundle(F.lit("x"), F.lit("Ask"), F.lit("diff")) is not None

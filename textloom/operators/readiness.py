@@ -31,8 +31,8 @@ SIGNALS = [
 ]
 DAY_MS, FRESH_DAYS, STALE_DAYS = 86_400_000, 90, 180
 NAMES_SHOWN, GAPS_SHOWN = 8, 6
-HOOK_MARKER = "ce-token-kit"
-OWN_HOOKS = ".ce-token-kit/hooks"
+HOOK_MARKER = "textloom-hook"
+OWN_HOOKS = ".textloom/hooks"
 READINESS_FILES = [".github/copilot-instructions.md", "AGENTS.md", ".vscode/mcp.json", ".vscode/mcp.jsonc"]
 
 

@@ -152,3 +152,13 @@ def scan_files(files: DataFrame, tracked: DataFrame) -> tuple[DataFrame, DataFra
     found = scan(files).join(flag, "file", "left").withColumn("tracked", F.coalesce("tracked", F.lit(False))).orderBy(F.desc("tracked"), "file", "line", "id")
     counts = files.agg(F.count_if(readable(F.col("text"))).alias("scanned"), F.count_if(~F.coalesce(readable(F.col("text")), F.lit(False))).alias("skipped"))
     return found, counts
+
+
+def scanner_sql(table: str, file_col: str = "file", text_col: str = "text", rules=None) -> str:
+    """The scanner as one Spark SQL statement, generated from the rule table."""
+    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cases = ", ".join(f"CASE WHEN x RLIKE {quoted(java(r[1].split('[A-Za-z0-9+/=' + chr(92) + 's]*-----END')[0]))} THEN '{r[0]}' END" for r in rules or RULES)
+    return (
+        f"SELECT DISTINCT file, id, CAST(pos + 1 AS INT) AS line FROM (SELECT file, pos, explode(array_compact(array({cases}))) AS id "
+        f"FROM (SELECT {file_col} AS file, posexplode(split({text_col}, '\\n', -1)) AS (pos, x) FROM {table}))"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.regex import sql_any, sql_string, sql_test
-from textloom.operators import advisor, code, diff, evals, output, prompt, readiness, runs, secrets, select, structured
+from textloom.operators import advisor, code, diff, evals, output, prompt, readiness, reports, runs, secrets, select, structured
 from textloom.plans import derived as D
 from textloom.plans import sqlgen as S
 from textloom.plans.derived import table
@@ -452,6 +452,54 @@ def token_deltas(spark, sf_dir):
     return _run_events(spark, sf_dir).select("seq", runs.format_delta(F.col("before_tokens"), F.col("after_tokens")).alias("delta"))
 
 
+_TOP = "SELECT skeleton_id, count(*) AS n FROM runs WHERE grp = 'prompt' GROUP BY skeleton_id HAVING count(*) > 1 ORDER BY n DESC, skeleton_id LIMIT 5"
+
+
+@query(f"WITH {_RUNS}, k AS ({_SK}), c AS (SELECT {_COUNTERS} FROM runs) SELECT total_warnings, {', '.join(runs.WARNING_CLASSES)}, (SELECT coalesce(sum(n - 1), 0)::bigint FROM k) AS repeated_prompt_skeletons, (SELECT coalesce(string_agg(skeleton_id, ',' ORDER BY n DESC, skeleton_id), '') FROM ({_TOP})) AS top_skeletons FROM c")
+def coaching_snapshot(spark, sf_dir):
+    """A16."""
+    return runs.coaching(_run_events(spark, sf_dir)).withColumn("top_skeletons", F.array_join("top_skeletons", ","))
+
+
+@query(
+    f"""WITH {_RUNS}, s AS (SELECT {_COUNTERS} FROM runs) SELECT 'Prompt runs' AS metric, prompt_runs::varchar AS value FROM s UNION ALL SELECT 'Selection runs', selection_runs::varchar FROM s
+UNION ALL SELECT 'Compression saved', format('{{:,}}', selection_before_tokens - selection_after_tokens) FROM s UNION ALL SELECT 'Warnings', total_warnings::varchar FROM s UNION ALL SELECT 'Last context type', last_context_type FROM s"""
+)
+def stats_report(spark, sf_dir):
+    """Section 2.10: five lines of the usage report."""
+    wanted = ["Prompt runs", "Selection runs", "Compression saved", "Warnings", "Last context type"]
+    return reports.stats_report(_run_events(spark, sf_dir)).where(F.col("metric").isin(wanted)).select("metric", "value")
+
+
+@query()
+def evidence_report(spark, sf_dir):
+    """Section 2.10: the audit record as markdown."""
+    return reports.markdown(reports.evidence_report(_run_events(spark, sf_dir), 10.0), "Audit evidence")
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[?]') THEN 'question' END, CASE WHEN regexp_matches(t, '[0-9]') THEN 'digits' END], lambda x: x IS NOT NULL), ',') AS rules FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
+def rule_table_matches(spark, sf_dir):
+    """Turns by a rule table."""
+    table_ = rows(spark, "id string, pattern string", [("question", "[?]"), ("digits", "[0-9]")])
+    d = evals.rule_matches(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), table_)
+    sort = F.array_join(F.reverse(F.array_sort("rules")), ",")
+    return d.select("conv_id", "turn", sort.alias("rules"))
+
+
+@query()
+def agent_compressions(spark, sf_dir):
+    """N19, K10 over all turns."""
+    d = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text", F.lit(None).cast("string").alias("filename"))
+    return reports.agent_compress(d).select("doc_id", "output", "note", "protection")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'full' ELSE 'lite' END AS level FROM conversations")
+def concise_levels(spark, sf_dir):
+    """User turns ask for a retired level, others for a light one."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"), F.when(F.col("role") == "user", "ultra").otherwise("lite").alias("level"))
+    return reports.concise_request(d).select("conv_id", "turn", "level")
+
+
 # --- readiness ----------------------------------------------------------------------------
 
 _SIGNAL_SQL = f"""
@@ -668,7 +716,7 @@ def instruction_hygiene(spark, sf_dir):
     return d.select("doc_id", "h.line_count", "h.broad_scope_hits")
 
 
-_HOOKS = [("", None, "fresh", True), (".husky", None, "conflict-hookspath", False), (".git/hooks", "x ce-token-kit y", "already", True), (None, "other", "conflict-custom", False), (".ce-token-kit/hooks", None, "fresh", True)]
+_HOOKS = [("", None, "fresh", True), (".husky", None, "conflict-hookspath", False), (".git/hooks", "x textloom-hook y", "already", True), (None, "other", "conflict-custom", False), (".textloom/hooks", None, "fresh", True)]
 
 
 @query("WITH " + S.values("v", ["hooks_path", "existing", "action", "write_hook"], _HOOKS) + " SELECT coalesce(hooks_path, '-') AS hooks_path, action, write_hook FROM v")
