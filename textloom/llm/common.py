@@ -97,6 +97,15 @@ def numbered(df: DataFrame, order: list[str], label: str) -> tuple[DataFrame, in
     return out, total
 
 
+#: Rows of a narrow table (an id or two) that may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, with a broadcast hint if it is counted to be within the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def tidied(function):
     """A mapInArrow function that, at its partition's end, gives freed memory back to the system.
 

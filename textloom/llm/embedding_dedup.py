@@ -40,7 +40,8 @@ SAMPLE_ROWS = 32_768
 MOST_CELLS = 2_048
 BLOCK = 1_024
 Z = 4.0
-NO_ID = 2**63 - 1
+#: Rows without an id get numbers from here on, one each; real ids are smaller.
+NO_ID = 2**62
 
 
 def unit_rows(blobs, dtype: str) -> np.ndarray:
@@ -98,7 +99,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, exact: bool = Fal
                 out.append(a.tobytes() if a is not None and len(a) and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
-    narrow = table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).alias("v"))
+    narrow = table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.monotonically_increasing_id()).alias("vec_id"), F.col(vector_col).alias("v"))
     vectors = stored(narrow.mapInArrow(valid, "vec_id long, vector binary").withColumn("key", F.md5("vector")), "vectors")
     nodes = stored(
         vectors.where("vector IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("vector").alias("vector")).withColumn("dim", F.octet_length("vector")),
@@ -199,5 +200,5 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, exact: bool = Fal
     for done in (placed, nodes):
         forget(done)
     out = vectors.select("vec_id", "key").join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    null = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
     return out.select(null("vec_id"), "n_links", null("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))

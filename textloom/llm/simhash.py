@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, small_batches, stored, tidied
+from textloom.llm.common import forget, small, small_batches, stored, tidied
 from textloom.llm.components import connected_components
 
 HEAVY = 1024
 PACK = 256
-NO_ID = 2**63 - 1
+#: Texts in a block of verified pairs, in each direction.
+BLOCK_TEXTS = 128
+#: Rows without an id get numbers from here on, one each; real ids are smaller.
+NO_ID = 2**62
 
 
 # --- fingerprints ------------------------------------------------------------------------
@@ -303,7 +306,7 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     such pairs are candidates and a link also needs that Jaccard similarity of the
     texts' shingle sets.
     """
-    prints = stored(fingerprints(docs, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "simhash-fps")
+    prints = stored(fingerprints(docs, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())), "simhash-fps")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     n = nodes.count()
     masks = pigeonhole_masks(n, radius) if similarity is None else sampled_masks(n, similarity)
@@ -314,36 +317,57 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     classes = stored(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
     for done in (edges, nodes):
         forget(done)
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    null = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
     return prints.join(classes, "fp").select(null("doc_id"), "fp", null("component_id"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity."""
+    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity.
+
+    Pairs are dealt to blocks by their component, large components cut in both directions,
+    so that a text's set is sent once to each block that needs it and not once per pair.
+    """
     small_batches(docs.sparkSession)
     pairs = stored(pairs, "simhash-candidates")
+    of = connected_components(pairs, "simhash-candidates")
+    sizes = of.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("parts"))
+    of = stored(of.join(sizes, "component"), "simhash-candidate-components")
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("parts"))
+    blocked = pairs.join(of, pairs["a"] == of["node"]).select(F.xxhash64("component", part("a"), part("b")).alias("block"), "a", "b")
+    blocked = stored(blocked, "simhash-blocks")
+    members = stored(blocked.select("block", F.col("a").alias("id")).union(blocked.select("block", F.col("b").alias("id"))).distinct(), "simhash-members")
 
     def sets(batches):
         for batch in batches:
             found = [np.unique(shingle_digests(t, words).copy().view(">u8").astype("<u8").ravel()).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
 
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(used, "id", "left_semi")
-    hashes = stored(texts.mapInArrow(tidied(sets), "id long, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes")), "simhash-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(members.select("id").distinct()), "id", "left_semi")
+    hashes = texts.mapInArrow(tidied(sets), "id long, hashes binary")
+    rows = hashes.join(small(members), "id").select("block", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = rows.unionByName(blocked.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
 
     def judge(batches):
-        for batch in batches:
+        now, held = None, {}
+        for batch in batches:  # by block, sets before pairs
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                good.append(union == 0 or both >= similarity * union - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    left, right = hashes.select(F.col("id").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(judge), "a long, b long")
+            for block, kind, a, b, x in zip(*(batch.column(k) for k in range(5))):
+                block, a = block.as_py(), a.as_py()
+                if block != now:
+                    now, held = block, {}
+                if kind.as_py() == 0:
+                    x = x.as_py()
+                    held[a] = max(x, held[a], key=bytes) if a in held else x  # an id that repeats: one text stands for it
+                else:
+                    b = b.as_py()
+                    x, y = np.frombuffer(held[a], "<u8"), np.frombuffer(held[b], "<u8")
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    union = len(x) + len(y) - both
+                    if union == 0 or both >= similarity * union - 1e-9:
+                        good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidied(judge), "a long, b long")
 
 
 def representatives(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
@@ -352,8 +376,8 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = 12, similarit
     Rows without an id all stay; of rows that repeat an id one stays.
     """
     classes = group(docs, words, radius, similarity)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
+    gone = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+    kept = docs.where("doc_id IS NOT NULL").join(small(gone), "doc_id", "left_anti")
     if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
