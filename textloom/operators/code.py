@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.regex import py
-from textloom.operators.output import trim_blank_edges, with_savings
+from textloom.operators.output import chosen_lines, trim_blank_edges, with_savings
 
 #: Languages with // and /* */ comments, and with # comments.
 SLASH = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "go", "c", "cpp", "h", "hpp"]
@@ -64,8 +64,7 @@ def compress(df: DataFrame, text_col: str = "text", filename_col: str = "filenam
     df = df.withColumn("_class", F.when(F.col("_keep"), F.regexp_replace("_class", "[^B]", "N")).otherwise(dropped))
     # a blank is kept unless another blank comes before it with only dropped lines between
     df = df.withColumn("_class", F.array_join(F.transform(F.regexp_extract_all("_class", F.lit("[NC]+|[Bd]+"), F.lit(0)), _one_blank), ""))
-    kept = F.filter("_lines", lambda x, i: F.substr(F.col("_class"), i + 1, F.lit(1)).isin("N", "C", "B"))
-    df = df.withColumn("_kept", kept).withColumn(f"{prefix}output", F.array_join(trim_blank_edges(F.col("_kept")), "\n")).withColumn(f"{prefix}language", F.col("_lang"))
+    df = df.withColumn("_kept", chosen_lines("_lines", "_class", ["N", "C", "B"])).withColumn(f"{prefix}output", F.array_join(trim_blank_edges(F.col("_kept")), "\n")).withColumn(f"{prefix}language", F.col("_lang"))
     return with_savings(df, text_col, prefix).drop("_lang", "_lines", "_class", "_kept", "_keep")
 
 

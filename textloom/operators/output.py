@@ -91,13 +91,22 @@ def compress(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
     df = df.withColumn("_class", F.regexp_replace("_class", rf"(?<=[fs]{{{FRAMES_KEPT}}})[fs]", "d"))
     stretch = F.regexp_extract_all("_class", F.lit("[kx]+|[bfsd]+"), F.lit(0))
     df = df.withColumn("_class", F.array_join(F.transform(stretch, _one_blank), ""))
-    kept = F.filter("_lines", lambda x, i: F.substr(F.col("_class"), i + 1, F.lit(1)).isin("f", "k", "b"))
-    df = df.withColumn("_kept", kept).withColumn("_kept", F.when(F.forall("_kept", lambda x: T.trim(x) == ""), F.col("_lines")).otherwise(F.col("_kept")))
+    df = df.withColumn("_kept", chosen_lines("_lines", "_class", ["f", "k", "b"])).withColumn("_kept", F.when(F.forall("_kept", lambda x: T.trim(x) == ""), F.col("_lines")).otherwise(F.col("_kept")))
     df = dedupe_by_shape(df, "_kept", "_kept").withColumn("_kept", trim_blank_edges(F.col("_kept")))
     df = df.withColumn(f"{p}output", F.array_join("_kept", "\n"))
     return with_savings(df, text_col, p).drop("_lines", "_class", "_kept")
 
 
+def chosen_lines(lines, classes, wanted: list[str]):
+    """Lines whose letter in the string of classes is wanted.
+
+    Zipped and not looked up by place: a column used inside a lambda alone would be worked
+    out again for every line.
+    """
+    marked = F.zip_with(lines, F.split(classes, ""), lambda x, c: F.struct(x.alias("x"), c.alias("c")))
+    return F.transform(F.filter(marked, lambda m: m["c"].isin(*wanted)), lambda m: m["x"])
+
+
 def _one_blank(s):
     at = F.instr(s, "b")
     return F.when(at > 0, F.concat(F.substr(s, F.lit(1), at), F.translate(F.substr(s, at + 1), "b", "d"))).otherwise(s)
