@@ -9,7 +9,7 @@ radius shares a bucket, so the links are exact. Buckets are compared in blocks:
 fingerprints' bits are stored as vertical planes, the distances of one fingerprint to
 64 others per machine word are kept in carry-save counters (ones, twos, fours, ...),
 and after every eight planes the rows whose lanes have all passed the radius are
-abandoned. A block emits a spanning forest of its links (nearest first), not all pairs.
+abandoned. A block emits its links if they are few for each row, else a spanning forest.
 A bucket larger than ``HEAVY`` is cut into salted parts, compared part against part in
 separate tasks.
 
@@ -35,6 +35,10 @@ from textloom.llm.components import connected_components
 
 HEAVY = 1024
 PACK = 256
+#: How much farther than the radius second fingerprints may be apart.
+SECOND_MORE = 3
+#: Links of a block that are listed, per row; a denser block lists a spanning forest.
+PAIRS_PER_ROW = 8
 #: Texts in a block of verified pairs, in each direction.
 BLOCK_TEXTS = 128
 #: Rows without an id get numbers from here on, one each; real ids are smaller.
@@ -60,27 +64,43 @@ def shingle_digests(text: str | None, words: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[i:j], 42) for i, j in zip(first, stop[words - 1 :].tolist())]), np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a text."""
-    digests = shingle_digests(text, words)
-    if not len(digests):
-        return 0
+def _majority(digests: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(digests), 1 << 14):
         ones += np.unpackbits(digests[k : k + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long)."""
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Unsigned 64-bit SimHash of a text."""
+    digests = shingle_digests(text, words)
+    return _majority(digests) if len(digests) else 0
+
+
+def both_fingerprints(text: str | None, words: int = 4) -> tuple[int, int]:
+    """The SimHash, and a second one of the same shingles from other bits (the digests mixed)."""
+    digests = shingle_digests(text, words)
+    if not len(digests):
+        return 0, 0
+    h = digests.copy().view(">u8").astype(np.uint64).ravel()
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return _majority(digests), _majority(h.view(np.uint8).reshape(-1, 8))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, second: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp: the fingerprint as a signed long, fp2: the second one, or 0)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            found = np.array([both_fingerprints(t, words) if second else (fingerprint(t, words), 0) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["doc_id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long, fp2 long")
 
 
 # --- bit-sliced comparison ---------------------------------------------------------------
@@ -173,19 +193,29 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
         comp = np.array([root(x) for x in range(n)])[comp]
 
 
-def block_links(fps: np.ndarray, side: np.ndarray, radius: int):
-    """Forest edges (i, j, distance) of one block; rows of side 1 are compared with side 0 only."""
-    second = side > 0
-    if second.any():
-        i0, j0 = np.flatnonzero(~second), np.flatnonzero(second)
+def block_links(fps: np.ndarray, others: np.ndarray, side: np.ndarray, radius: int, second: int | None):
+    """Links (i, j, distance) of one block; rows of side 1 are compared with side 0 only.
+
+    With ``second``, the second fingerprints (``others``) have to be that near too. All links
+    are listed if they are few for each row, else a spanning forest, nearest first.
+    """
+    above = side > 0
+    if above.any():
+        i0, j0 = np.flatnonzero(~above), np.flatnonzero(above)
         i, j, d = compare(fps[i0], fps[j0], radius)
         i, j = i0[i], j0[j]
     else:
         i, j, d = compare(fps, fps, radius)
         up = i < j
         i, j, d = i[up], j[up], d[up]
-    keep = spanning_forest(len(fps), i, j, d)
-    return i[keep], j[keep], d[keep]
+    if second is not None:
+        more = np.bitwise_count(others[i] ^ others[j]).astype(np.int64)
+        near = more <= second
+        i, j, d = i[near], j[near], (d + more)[near]
+    if len(i) > PAIRS_PER_ROW * len(fps):
+        keep = spanning_forest(len(fps), i, j, d)
+        i, j, d = i[keep], j[keep], d[keep]
+    return i, j, d
 
 
 # --- tables and buckets ------------------------------------------------------------------
@@ -222,10 +252,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFrame:
-    """Edges (a, b, distance) between nodes (node, fp), ``rows`` of them, with fingerprints
-    within ``radius``."""
-    keyed = nodes.select("node", "fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])).alias("bucket"))
+def links(nodes: DataFrame, rows: int, masks: list[int], radius: int, second: int | None = None) -> DataFrame:
+    """Edges (a, b, distance) between nodes (node, fp, fp2), ``rows`` of them, with fingerprints
+    within ``radius`` (and second ones within ``second``)."""
+    keyed = nodes.select("node", "fp", "fp2", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])).alias("bucket"))
     # rows are counted by a short hash of the bucket first, which partial sums keep small; exact
     # counts are made only where such a count is high
     short = F.pmod("bucket", F.lit(max(1 << 12, rows * len(masks) // 128))).alias("short")
@@ -234,7 +264,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
     if some:
         counted = keyed.select("bucket", short).join(high, "short", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
         heavy = stored(counted.select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "simhash-heavy")
-    blocks = keyed.select("node", "fp", F.col("bucket").alias("block"), F.lit(0).cast("byte").alias("side"))
+    blocks = keyed.select("node", "fp", "fp2", F.col("bucket").alias("block"), F.lit(0).cast("byte").alias("side"))
     if some:
         cut = keyed.join(heavy, "bucket", "left")
         part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
@@ -246,6 +276,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
         blocks = dealt.select(
             "node",
             "fp",
+            "fp2",
             F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).alias("block"),
             F.when(F.col("part") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"),
         )
@@ -255,7 +286,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
         size = 0
 
         def work(rows):
-            block, node, fp, side = rows
+            block, node, fp, side, fp2 = rows
             edges = []
             start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             stop = np.concatenate([start[1:], [len(block)]])
@@ -274,7 +305,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
                 if side[at].any():
                     first = np.arange(len(at))
                 at = at[first]
-                i, j, d = block_links(fp[at].view(np.uint64), side[at], radius)
+                i, j, d = block_links(fp[at].view(np.uint64), fp2[at].view(np.uint64), side[at], radius, second)
                 if len(i):
                     edges.append(np.stack([node[at[i]], node[at[j]], d]))
                 k = e
@@ -286,7 +317,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
             size += batch.num_rows
             if size >= 1 << 18:
                 rows = np.concatenate(held, axis=1)
@@ -296,29 +327,30 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int) -> DataFra
         if held:
             yield from work(np.concatenate(held, axis=1))
 
-    return blocks.select("block", "node", "fp", "side").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), "a long, b long, distance long")
+    return blocks.select("block", "node", "fp", "side", "fp2").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), "a long, b long, distance long")
 
 
 def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     Without ``similarity`` all fingerprints within ``radius`` bits are linked. With it,
-    such pairs are candidates and a link also needs that Jaccard similarity of the
-    texts' shingle sets.
+    such pairs are candidates if a second fingerprint agrees, and a link also needs that
+    Jaccard similarity of the texts' shingle sets.
     """
-    prints = stored(fingerprints(docs, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())), "simhash-fps")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    strict = similarity is not None
+    prints = stored(fingerprints(docs, words, strict).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())), "simhash-fps")
+    nodes = stored(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     n = nodes.count()
-    masks = pigeonhole_masks(n, radius) if similarity is None else sampled_masks(n, similarity)
-    edges = stored(links(nodes, n, masks, radius), "simhash-edges")
-    if similarity is not None:
+    masks = sampled_masks(n, similarity) if strict else pigeonhole_masks(n, radius)
+    edges = stored(links(nodes, n, masks, radius, radius + SECOND_MORE if strict else None), "simhash-edges")
+    if strict:
         edges = stored(verified(docs, edges.select("a", "b").distinct(), words, similarity), "simhash-verified")
     found = connected_components(edges, "simhash")
-    classes = stored(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
+    classes = stored(nodes.join(found, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
     for done in (edges, nodes):
         forget(done)
     null = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
-    return prints.join(classes, "fp").select(null("doc_id"), "fp", null("component_id"))
+    return prints.join(classes, ["fp", "fp2"]).select(null("doc_id"), "fp", null("component_id"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -370,7 +402,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidied(judge), "a long, b long")
 
 
-def representatives(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, radius: int = 15, similarity: float = 0.8) -> DataFrame:
     """The documents that stay: of each group the one with the smallest id (whole rows).
 
     Rows without an id all stay; of rows that repeat an id one stays.
