@@ -85,7 +85,7 @@ def sql_string(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def sql_test(column: str, pattern: str, flags: str = "") -> str:
+def sql_test(column: str, pattern: str, flags: str = "", hints=()) -> str:
     """DuckDB: does the pattern occur in the column?"""
     return f"regexp_matches({column}, {sql_string(re2(pattern, flags))})"
 

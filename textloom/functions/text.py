@@ -77,9 +77,16 @@ def lines(text) -> Column:
     return F.split(text, "\n", -1)
 
 
-def test(text, pattern: str, flags: str = "") -> Column:
-    """Does an ECMAScript pattern occur in the text?"""
-    return text.rlike(java(pattern, flags))
+def hinted(text, flags: str, hints) -> Column:
+    """Does the text hold one of the literals, of which any match holds one?"""
+    where = F.lower(text) if "i" in flags else text
+    return reduce(or_, (F.contains(where, F.lit(h)) for h in hints))
+
+
+def test(text, pattern: str, flags: str = "", hints=()) -> Column:
+    """Does an ECMAScript pattern occur in the text? Texts without a hint skip it."""
+    found = text.rlike(java(pattern, flags))
+    return hinted(text, flags, hints) & found if hints else found
 
 
 def any_of(text, patterns) -> Column:
@@ -92,9 +99,7 @@ def any_of(text, patterns) -> Column:
     out = F.lit(False)
     for pattern, flags, *hints in patterns:
         if hints:
-            where = F.lower(text) if "i" in flags else text
-            hinted = reduce(or_, (F.contains(where, F.lit(h)) for h in hints[0]))
-            out = out | (hinted & text.rlike(java(pattern, flags)))
+            out = out | test(text, pattern, flags, hints[0])
         else:
             by_flags.setdefault(flags, []).append(java(pattern, flags.replace("i", "")))
     for flags, group in by_flags.items():

@@ -135,17 +135,18 @@ SHAPES = {
     "narrow": "Aim for ≤150 tokens.",
     "question": "Lead with the answer; aim for ≤3 sentences unless the question needs more.",
 }
+_DIGITS = tuple("0123456789")
 VOLATILE = [
-    (r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z\b", ""),
-    (r"\b\d{4}-\d{2}-\d{2}\b", ""),
-    (r"\b\d{1,2}:\d{2}(?::\d{2})?\b", ""),
-    (r"\b(?:today|yesterday|tomorrow|tonight)\b", "i"),
-    (r"\b(?:case|run|attempt|build|job|iteration|ticket|try)\s+#?\d+\b", "i"),
-    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "i"),
-    (r"\b[a-f0-9]{16,40}\b", "i"),
-    (r"\b\d{10,}\b", ""),
-    (r"^\s*at\s+.+:\d+:\d+\)?$", "m"),
-    (r"\/(tmp|var\/folders)\/[\w./-]+", "i"),
+    (r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z\b", "", tuple(f"T{d}" for d in _DIGITS)),
+    (r"\b\d{4}-\d{2}-\d{2}\b", "", tuple(f"-{d}" for d in _DIGITS)),
+    (r"\b\d{1,2}:\d{2}(?::\d{2})?\b", "", tuple(f":{d}" for d in _DIGITS)),
+    (r"\b(?:today|yesterday|tomorrow|tonight)\b", "i", ("today", "yesterday", "tomorrow", "tonight")),
+    (r"\b(?:case|run|attempt|build|job|iteration|ticket|try)\s+#?\d+\b", "i", _DIGITS),
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "i", ("-1", "-2", "-3", "-4", "-5")),
+    (r"\b[a-f0-9]{16,40}\b", "i", ()),
+    (r"\b\d{10,}\b", "", _DIGITS),
+    (r"^\s*at\s+.+:\d+:\d+\)?$", "m", tuple(f":{d}" for d in _DIGITS)),
+    (r"\/(tmp|var\/folders)\/[\w./-]+", "i", ("/tmp/", "/var/folders/")),
 ]
 VAGUE = (r"\b(it|this|that|the\s+function|the\s+method|the\s+class|the\s+component|the\s+test)\b", "i")
 COMPOUND = (r"\b(and\s+also|and\s+then|while\s+also|as\s+well\s+as|in\s+addition\s+to|plus\s+also)\b", "i")
@@ -320,14 +321,20 @@ def response_shape(prompt, kind=None, file=None):
     )
 
 
-def volatile_segments(prompt):
-    """Struct of the earliest match (0-based, -1 if none) and the summed length of all matches."""
-    first = [F.when(F.regexp_instr(prompt, F.lit(java(p, f))) > 0, F.regexp_instr(prompt, F.lit(java(p, f))) - 1) for p, f in VOLATILE]
-    sizes = [F.aggregate(F.regexp_extract_all(prompt, F.lit(java(p, f)), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a + T.u16_length(x)) for p, f in VOLATILE]
-    total = sizes[0]
-    for s in sizes[1:]:
-        total = total + s
-    return F.struct(F.coalesce(F.least(*first), F.lit(-1)).cast("int").alias("earliest"), total.alias("chars"))
+def volatile_segments(df: DataFrame, prompt_col: str, out: str) -> DataFrame:
+    """Struct of the earliest match (0-based, -1 if none) and the summed length of all matches.
+
+    Matches are taken once per pattern, from texts that hold one of its hints; only where
+    there are any is the first one's place looked for.
+    """
+    prompt = F.col(prompt_col)
+    none = F.array().cast("array<string>")
+    found = lambda p, f, h: F.regexp_extract_all(prompt, F.lit(java(p, f)), F.lit(0))
+    df = df.withColumn("_m", F.array(*[F.when(T.hinted(prompt, f, h), found(p, f, h)).otherwise(none) if h else found(p, f, h) for p, f, h in VOLATILE]))
+    own = lambda k: F.get(F.col("_m"), F.lit(k))
+    first = [F.when(F.size(own(k)) > 0, F.regexp_instr(prompt, F.lit(java(p, f))) - 1) for k, (p, f, _) in enumerate(VOLATILE)]
+    total = F.aggregate(F.flatten("_m"), F.lit(0).cast("long"), lambda a, x: a + T.u16_length(x))
+    return df.withColumn(out, F.struct(F.coalesce(F.least(*first), F.lit(-1)).cast("int").alias("earliest"), total.alias("chars"))).drop("_m")
 
 
 def with_cache(df: DataFrame, prompt_col: str, out: str = "cache") -> DataFrame:
@@ -335,7 +342,7 @@ def with_cache(df: DataFrame, prompt_col: str, out: str = "cache") -> DataFrame:
 
     Thresholds are held against unrounded ratios.
     """
-    df = df.withColumn("_v", volatile_segments(F.col(prompt_col))).withColumn("_n", T.u16_length(prompt_col))
+    df = volatile_segments(df, prompt_col, "_v").withColumn("_n", T.u16_length(prompt_col))
     prefix = F.when((F.col("_n") == 0) | (F.col("_v.earliest") == -1), F.lit(1.0)).otherwise(F.col("_v.earliest") / F.col("_n"))
     density = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("_v.chars") / F.col("_n")))
     df = df.withColumn("_p", prefix).withColumn("_d", density)

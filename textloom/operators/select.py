@@ -16,12 +16,12 @@ from textloom.operators.output import with_savings
 MODES = ["json", "code", "output", "instructions", "outline", "diff"]
 MODE_BY_EXTENSION = {"json": "json", "md": "instructions", "markdown": "instructions", "log": "output", "txt": "output"}
 CODE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "py", "go", "c", "cpp", "h", "hpp", "sh", "bash"]
-STACK_FRAME = (r"^\s*at\s+.+:\d+:\d+\)?$", "m")
-DIFF_HEADER = (r"^(diff --git|@@ |---\s|\+\+\+\s)", "m")
-ERROR_WORD = (r"\b(error|exception|failed|failure|assert)\b", "i")
-PACK_DIFF = (r"^(?:diff --git |@@ -\d|\+\+\+ |--- )", "m")
-PACK_TEST = (r"\b(?:FAIL|✕|✗|✖|not ok|AssertionError|Expected:|Received:|expect\(|to (?:be|equal|match|contain))\b", "")
-PACK_STACK = (r"(?:^|\n)\s*(?:at\s+.+:\d+:\d+|File \".+\", line \d+)|Traceback \(most recent call last\)", "")
+STACK_FRAME = (r"^\s*at\s+.+:\d+:\d+\)?$", "m", tuple(f":{d}" for d in range(10)))
+DIFF_HEADER = (r"^(diff --git|@@ |---\s|\+\+\+\s)", "m", ("diff --git", "@@ ", "---", "+++"))
+ERROR_WORD = (r"\b(error|exception|failed|failure|assert)\b", "i", ("error", "exception", "fail", "assert"))
+PACK_DIFF = (r"^(?:diff --git |@@ -\d|\+\+\+ |--- )", "m", ("diff --git ", "@@ -", "+++ ", "--- "))
+PACK_TEST = (r"\b(?:FAIL|✕|✗|✖|not ok|AssertionError|Expected:|Received:|expect\(|to (?:be|equal|match|contain))\b", "", ("FAIL", "✕", "✗", "✖", "not ok", "AssertionError", "Expected:", "Received:", "expect(", "to be", "to equal", "to match", "to contain"))
+PACK_STACK = (r"(?:^|\n)\s*(?:at\s+.+:\d+:\d+|File \".+\", line \d+)|Traceback \(most recent call last\)", "", ("at", "File", "Traceback"))
 SELECTION_WARNINGS = {
     "diff": "Diff detected. Ask for changed behavior, regression risk, or the smallest safe fix.",
     "stack-trace": "Stack trace detected. Include the failing assertion or top error line if you have it.",
@@ -61,15 +61,14 @@ def is_mode(mode):
 
 def kind_of(text, filename=None):
     """The selection's kind, by the first test that holds."""
-    bare = T.trim(text)
     by_name = mode_of(filename) if filename is not None else F.lit("unknown")
     return T.first_case(
         [
-            (bare == "", "selected-text"),
+            (~text.rlike(f"[^{T.WS}]"), "selected-text"),
             (T.test(text, *DIFF_HEADER), "diff"),
             (T.test(text, *STACK_FRAME), "stack-trace"),
             (by_name.isin("code", "json", "output"), by_name),
-            (T.test(bare, *ERROR_WORD), "stack-trace"),
+            (T.test(text, *ERROR_WORD), "stack-trace"),
             (structured.is_json_like(text), "json"),
         ],
         "selected-text",

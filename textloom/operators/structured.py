@@ -157,5 +157,5 @@ def flat_paths(text, wanted=None):
 
 def is_json_like(text):
     """Trimmed text in braces or brackets."""
-    t = T.trim(text)
-    return (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
+    braces = text.rlike(rf"\A[{T.WS}]*\{{") & text.rlike(rf"\}}[{T.WS}]*\z")
+    return braces | (text.rlike(rf"\A[{T.WS}]*\[") & text.rlike(rf"\][{T.WS}]*\z"))

@@ -115,7 +115,7 @@ def cache_ctes(source: str) -> str:
 
     size = lambda pattern, flags: f"list_sum(list_transform(regexp_extract_all(text, {sql_string(re2(pattern, flags))}), lambda m: {u16('m')}))"
     return f"""
-v AS (SELECT *, least({', '.join(first(a, b) for a, b in p.VOLATILE)}) AS e0, {' + '.join(f'coalesce({size(a, b)}, 0)' for a, b in p.VOLATILE)} AS chars, {u16('text')} AS n FROM {source}),
+v AS (SELECT *, least({', '.join(first(a, b) for a, b, _ in p.VOLATILE)}) AS e0, {' + '.join(f'coalesce({size(a, b)}, 0)' for a, b, _ in p.VOLATILE)} AS chars, {u16('text')} AS n FROM {source}),
 q AS (SELECT *, coalesce(e0, -1) AS earliest, CASE WHEN n = 0 OR e0 IS NULL THEN 1.0::double ELSE e0::double / n END AS pr, CASE WHEN n = 0 THEN 0.0::double ELSE least(1.0::double, chars::double / n) END AS de FROM v),
 cached AS (SELECT * EXCLUDE (pr, de), CASE WHEN n = 0 THEN 100 ELSE greatest(0, 100 - (CASE WHEN pr < 0.35 THEN 35 WHEN pr < 0.6 THEN 15 ELSE 0 END)
   - (CASE WHEN de > 0.2 THEN 25 WHEN de > 0.1 THEN 12 ELSE 0 END) - (CASE WHEN n > 300 AND pr < 0.5 THEN 10 ELSE 0 END)) END::int AS score,
