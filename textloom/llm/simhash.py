@@ -38,7 +38,7 @@ PACK = 256
 #: How much farther than the radius second fingerprints may be apart.
 SECOND_MORE = 3
 #: Links of a block that are listed, per row; a denser block lists a spanning forest.
-PAIRS_PER_ROW = 8
+PAIRS_PER_ROW = 2
 #: Texts in a block of verified pairs, in each direction.
 BLOCK_TEXTS = 128
 #: Rows without an id get numbers from here on, one each; real ids are smaller.
