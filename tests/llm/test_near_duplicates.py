@@ -117,6 +117,33 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(group[r.doc_id] for r in kept) == sorted(set(group.values()))
 
 
+def brute_similar(data, words, similarity):
+    sets = [{" ".join(p[i : i + words]) for i in range(max(1, len(p) - words + 1))} for p in (t.lower().split() for _, t in data)]
+    links = [(data[a][0], data[b][0]) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return brute_components([i for i, _ in data], links)
+
+
+def templates(seed, families, shared=350, own=40):
+    """Pairs of similarity 0.82 out of one template, by which all texts have 0.78."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**9, n))
+    template, out = fresh(shared), []
+    for _ in range(families):
+        family = fresh(10)
+        out += [f"{template} {family} {fresh(own)}" for _ in range(2)]
+    return [(k, out[k]) for k in rng.permutation(len(out)).tolist()]
+
+
+@pytest.mark.parametrize("texts", [128, 16])
+def test_dense_candidates_lose_no_similar_pair(spark, monkeypatch, texts):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts)  # 16: the component is cut into parts
+    data = templates(4, 40)
+    want = brute_similar(data, 5, 0.8)
+    assert len(set(want.values())) == 40
+    got = simhash.group(spark.createDataFrame(data, "doc_id long, text string"), words=5, radius=15, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def brute_vectors(data, threshold):
     x = [None if v is None or not len(v) or any(c is None or not np.isfinite(c) for c in v) or not any(v) else np.array(v, np.float32).astype(float) for _, v in data]
     x = [None if v is None else v / np.sqrt(v @ v) for v in x]

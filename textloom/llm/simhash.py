@@ -10,6 +10,8 @@ fingerprints' bits are stored as vertical planes, the distances of one fingerpri
 64 others per machine word are kept in carry-save counters (ones, twos, fours, ...),
 and after every eight planes the rows whose lanes have all passed the radius are
 abandoned. A block emits its links if they are few for each row, else a spanning forest.
+Where links need a similarity as well, the forest names the components of candidates, and
+all pairs inside a component count that the forest's verified edges have not joined.
 A bucket larger than ``HEAVY`` is cut into salted parts, compared part against part in
 separate tasks.
 
@@ -344,7 +346,7 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     masks = sampled_masks(n, similarity) if strict else pigeonhole_masks(n, radius)
     edges = stored(links(nodes, n, masks, radius, radius + SECOND_MORE if strict else None), "simhash-edges")
     if strict:
-        edges = stored(verified(docs, edges.select("a", "b").distinct(), words, similarity), "simhash-verified")
+        edges = verified(docs, edges.select("a", "b").distinct(), words, similarity)
     found = connected_components(edges, "simhash")
     classes = stored(nodes.join(found, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
     for done in (edges, nodes):
@@ -353,30 +355,35 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     return prints.join(classes, ["fp", "fp2"]).select(null("doc_id"), "fp", null("component_id"))
 
 
+def shingle_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(block, id, hashes) for (block, id) in ``members``: the sorted shingle hashes of that text."""
+    small_batches(docs.sparkSession)
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_digests(t, words).copy().view(">u8").astype("<u8").ravel()).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(members.select("id").distinct()), "id", "left_semi")
+    return texts.mapInArrow(tidied(sets), "id long, hashes binary").join(small(members), "id")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have that Jaccard similarity.
+    """Edges (a, b) of ids whose texts' shingle sets have that Jaccard similarity. They have the
+    components of all such pairs inside the components of ``pairs``, which may be a forest.
 
     Pairs are dealt to blocks by their component, large components cut in both directions,
     so that a text's set is sent once to each block that needs it and not once per pair.
     """
-    small_batches(docs.sparkSession)
     pairs = stored(pairs, "simhash-candidates")
-    of = connected_components(pairs, "simhash-candidates")
-    sizes = of.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("parts"))
-    of = stored(of.join(sizes, "component"), "simhash-candidate-components")
-    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("parts"))
+    candidates = connected_components(pairs, "simhash-candidates")
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("parts"))
+    of = stored(candidates.join(sizes, "component"), "simhash-candidate-components")
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("parts")).cast("int")
     blocked = pairs.join(of, pairs["a"] == of["node"]).select(F.xxhash64("component", part("a"), part("b")).alias("block"), "a", "b")
     blocked = stored(blocked, "simhash-blocks")
     members = stored(blocked.select("block", F.col("a").alias("id")).union(blocked.select("block", F.col("b").alias("id"))).distinct(), "simhash-members")
-
-    def sets(batches):
-        for batch in batches:
-            found = [np.unique(shingle_digests(t, words).copy().view(">u8").astype("<u8").ravel()).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(members.select("id").distinct()), "id", "left_semi")
-    hashes = texts.mapInArrow(tidied(sets), "id long, hashes binary")
-    rows = hashes.join(small(members), "id").select("block", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = shingle_sets(docs, members, words).select("block", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
     rows = rows.unionByName(blocked.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
 
     def judge(batches):
@@ -399,7 +406,66 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
                         good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], ["a", "b"])
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidied(judge), "a long, b long")
+    sure = stored(rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidied(judge), "a long, b long"), "simhash-sure")
+    # a forest's edges may fail where other pairs of the component pass: test what is not joined yet
+    joined = connected_components(sure, "simhash-sure").select("node", F.col("component").alias("own"))
+    nodes = of.join(joined, "node", "left").select("node", "component", "parts", F.coalesce("own", "node").alias("own"))
+    nodes = stored(nodes, "simhash-joined")
+    open_ = nodes.groupBy("component").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("component")
+    dealt = nodes.join(open_, "component", "left_semi").withColumn("part", part("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(
+        F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("block"),
+        F.col("node").alias("id"),
+        "own",
+        F.when(F.col("part") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"),
+        (F.col("part") != F.col("other")).alias("cut"),
+    )
+    dealt = stored(dealt, "simhash-dealt")
+    mixed = dealt.groupBy("block").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("block")
+    rest = stored(dealt.join(mixed, "block", "left_semi"), "simhash-rest")
+
+    def complete(batches):
+        now, held = None, {}
+        for batch in batches:
+            for block, a, own, side, cut, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    yield from missing(held)
+                    now, held = block, {}
+                held[a] = (max(x, held[a][0]) if a in held else x, own, side, cut)
+        yield from missing(held)
+
+    def missing(held):
+        if len(held) < 2:
+            return
+        ids, (x, own, side, cut) = np.array(list(held), np.int64), (list(c) for c in zip(*held.values()))
+        i, j = similar_pairs([np.frombuffer(h, "<u8") for h in x], np.array(own, np.int64), np.array(side), cut[0], similarity)
+        keep = spanning_forest(len(ids), i, j, np.zeros(len(i), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]]), pa.array(ids[j[keep]])], ["a", "b"])
+
+    rows = shingle_sets(docs, rest, words).select("block", "id", "own", "side", "cut", "hashes")
+    more = rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(complete), "a long, b long")
+    return stored(sure.unionByName(more), "simhash-verified")
+
+
+def similar_pairs(sets: list[np.ndarray], own: np.ndarray, side: np.ndarray, cut: bool, similarity: float):
+    """Pairs (i, j) of one block, not of one ``own`` yet, whose sets have that Jaccard similarity;
+    in a ``cut`` block only pairs of both sides."""
+    size = np.array([len(s) for s in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    stop = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)
+    mark = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+    pairs = []
+    for i in range(len(sets)):
+        mark[number[stop[i] - size[i] : stop[i]]] = True
+        both = np.bincount(owner[stop[i] :][mark[number[stop[i] :]]], minlength=len(sets))
+        mark[number[stop[i] - size[i] : stop[i]]] = False
+        good = (both >= similarity * (size + size[i] - both) - 1e-9) & (own != own[i]) & (np.arange(len(sets)) > i)
+        if cut:
+            good &= side != side[i]
+        j = np.flatnonzero(good)
+        pairs.append(np.stack([np.full(len(j), i), j]))
+    return np.concatenate(pairs, axis=1)
 
 
 def representatives(docs: DataFrame, words: int = 5, radius: int = 15, similarity: float = 0.8) -> DataFrame:
