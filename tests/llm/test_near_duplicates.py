@@ -144,6 +144,18 @@ def test_dense_candidates_lose_no_similar_pair(spark, monkeypatch, texts):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_repeated_lines_do_not_part_equal_sets(spark):
+    rng = np.random.default_rng(8)
+    line, data = " ".join(f"l{k}" for k in range(10)), []
+    for k in range(20):
+        body = " ".join(f"t{x}" for x in rng.integers(0, 10**9, 300))
+        data += [(2 * k, f"{body} {' '.join([line] * 3)}"), (2 * k + 1, f"{body} {' '.join([line] * 100)}")]
+    once = "a b c d e f g h i"
+    assert simhash.both_fingerprints(once, 5)[0] == simhash.fingerprint(once, 5)
+    got = simhash.group(spark.createDataFrame(data, "doc_id long, text string"), words=5, radius=15, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k // 2 * 2 for k in range(40)}
+
+
 def brute_vectors(data, threshold):
     x = [None if v is None or not len(v) or any(c is None or not np.isfinite(c) for c in v) or not any(v) else np.array(v, np.float32).astype(float) for _, v in data]
     x = [None if v is None else v / np.sqrt(v @ v) for v in x]

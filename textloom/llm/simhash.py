@@ -1,7 +1,8 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprints: texts lower-cased in A-Z, words split at ASCII white space, word shingles
-hashed by XXH64 with seed 42; a bit is 1 if it is set in over half of the hashes.
+hashed by XXH64 with seed 42; a bit is 1 if it is set in over half of the hashes. Repeated
+shingles count each time, unless a similarity of shingle sets decides: then once.
 
 Links: distinct fingerprints are put into the buckets of several tables, each table
 being a mask of bits. With the masks of ``pigeonhole_masks`` every pair within the
@@ -79,9 +80,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return _majority(digests) if len(digests) else 0
 
 
+def distinct(digests: np.ndarray) -> np.ndarray:
+    """The digests without repeats."""
+    return np.unique(digests.copy().view(">u8").ravel()).view(np.uint8).reshape(-1, 8)
+
+
 def both_fingerprints(text: str | None, words: int = 4) -> tuple[int, int]:
-    """The SimHash, and a second one of the same shingles from other bits (the digests mixed)."""
-    digests = shingle_digests(text, words)
+    """The SimHash of the set of shingles, and a second one from other bits (the digests mixed)."""
+    digests = distinct(shingle_digests(text, words))
     if not len(digests):
         return 0, 0
     h = digests.copy().view(">u8").astype(np.uint64).ravel()
@@ -93,7 +99,9 @@ def both_fingerprints(text: str | None, words: int = 4) -> tuple[int, int]:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, second: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long, fp2: the second one, or 0)."""
+    """(doc_id, fp: the fingerprint as a signed long, fp2: the second one, or 0).
+
+    With ``second`` both are those of the distinct shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
