@@ -156,6 +156,18 @@ def test_repeated_lines_do_not_part_equal_sets(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: k // 2 * 2 for k in range(40)}
 
 
+def test_near_copies_without_an_id(spark):
+    rng = np.random.default_rng(3)
+    base, other = (" ".join(f"t{x}" for x in rng.integers(0, 10**9, 200)) for _ in range(2))
+    lone = variants(rng, other, 2, 1)
+    data = [(5, base), (None, variants(rng, base, 1, 1)[0]), (7, variants(rng, base, 1, 1)[0]), (None, lone[0]), (None, lone[1]), (None, None), (None, "")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.group(table, words=5, radius=15, similarity=0.8).collect()}
+    assert got == {(5, 5), (7, 5), (None, 5), (None, None)}
+    kept = simhash.representatives(table).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, (d for d in data if d[0] != 7)))
+
+
 def brute_vectors(data, threshold):
     x = [None if v is None or not len(v) or any(c is None or not np.isfinite(c) for c in v) or not any(v) else np.array(v, np.float32).astype(float) for _, v in data]
     x = [None if v is None else v / np.sqrt(v @ v) for v in x]

@@ -101,16 +101,20 @@ def both_fingerprints(text: str | None, words: int = 4) -> tuple[int, int]:
 def fingerprints(docs: DataFrame, words: int = 4, second: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp: the fingerprint as a signed long, fp2: the second one, or 0).
 
-    With ``second`` both are those of the distinct shingles."""
+    With ``second`` both are those of the distinct shingles, and rows without an id carry their ``text``."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "fp", "fp2", "text"][: 4 if second else 3]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = np.array([both_fingerprints(t, words) if second else (fingerprint(t, words), 0) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["doc_id", "fp", "fp2"])
+            columns = [batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())]
+            if second:
+                columns.append(pa.array([t if i is None else None for i, t in zip(batch.column(0).to_pylist(), texts)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long, fp2 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long, fp2 long" + (", text string" if second else ""))
 
 
 # --- bit-sliced comparison ---------------------------------------------------------------
@@ -354,7 +358,10 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     masks = sampled_masks(n, similarity) if strict else pigeonhole_masks(n, radius)
     edges = stored(links(nodes, n, masks, radius, radius + SECOND_MORE if strict else None), "simhash-edges")
     if strict:
-        edges = verified(docs, edges.select("a", "b").distinct(), words, similarity)
+        # rows without an id are known by their number, which only ``prints`` has
+        named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        named = named.unionByName(prints.where(F.col("doc_id") >= NO_ID).select("doc_id", "text"))
+        edges = verified(named, edges.select("a", "b").distinct(), words, similarity)
     found = connected_components(edges, "simhash")
     classes = stored(nodes.join(found, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
     for done in (edges, nodes):
