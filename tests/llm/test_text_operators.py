@@ -39,6 +39,14 @@ def test_pages(spark):
     assert html_main.extract(d.limit(0)).count() == 0
 
 
+def test_main_text_keeps_the_whole_article():
+    long, rest = "One sentence, and another. " * 40, "The rest, in its own element. " * 7
+    page = f"<body><div id=content><div><p>{long}</p></div><div><p>{rest}</p></div></div></body>"
+    assert html_main.main_text(page) == f"{long.strip()}\n{rest.strip()}"
+    page = f"<body><article><p>{long}</p></article><article><p>{rest * 4}</p></article></body>"
+    assert html_main.main_text(page) == f"{long.strip()}\n{(rest * 4).strip()}"
+
+
 def test_odd_pages_end():
     html_main.main_text('<a a="1" b="2" c="3"' * 300)
     assert html_main.main_text("<div>" * 2000 + "deep").endswith("deep")

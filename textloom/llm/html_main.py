@@ -8,9 +8,9 @@ of class and id) from the root to it. Per distinct path the page gives
 
 each less the part that stands inside links. Both are smoothed over the blocks in page
 order (Gaussian), fused as their product, and paths whose fused score reaches a share
-of its spread are content. The content blocks vote for their elements: the main element
-is the deepest one that holds nearly all of their weight. A page that declares one
-(``article``, ``main``, ``role=main``) helps: such an element wins if it holds most of the
+of its spread are content. The main element is the deepest one that holds all content
+blocks, those that are mostly links aside. A page that declares one (``article``, ``main``,
+``role=main``) helps: the outermost such elements win together if they hold most of the
 weight. Every block of the main element is kept, short ones and headings too, apart from
 those in boilerplate: menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers and what is hidden.
@@ -244,7 +244,7 @@ def scores(blocks: list[tuple[Element, str, int]], width: float = 1.0) -> np.nda
     return smooth(text[number]) * (1 + smooth(punctuation[number]))
 
 
-def main_text(page: str | None, spread: float = 0.3, holds: float = 0.8) -> str:
+def main_text(page: str | None, spread: float = 0.3) -> str:
     """The article's text of one page."""
     blocks = blocks_of(page or "")
     kept = [b for b in blocks if not b[0].dropped]
@@ -252,6 +252,9 @@ def main_text(page: str | None, spread: float = 0.3, holds: float = 0.8) -> str:
         return ""
     score = scores(kept)
     content = score >= min(spread * score.std(), score.max()) if len(kept) > 1 else np.ones(1, bool)
+    plain = np.array([2 * linked <= len(text) for _, text, linked in kept])
+    if (content & plain).any():
+        content &= plain
     if not content.any():
         content[:] = True
     total, elements = 0.0, {}
@@ -264,14 +267,10 @@ def main_text(page: str | None, spread: float = 0.3, holds: float = 0.8) -> str:
             e.weight += w
             elements[id(e)] = e
             e = e.parent
-    declared = [e for e in elements.values() if e.main and e.weight >= 0.5 * total]
-    if declared:
-        chosen = max(declared, key=lambda e: (e.weight, e.depth))
-    else:
-        chosen = max((e for e in elements.values() if e.weight >= holds * total and (e.tag in BLOCK_TAGS or e.parent is None) and e.tag != "p"), key=lambda e: e.depth)
-    several = [e for e in elements.values() if e.main and e.parent is not None]
-    if not declared and several and sum(e.weight for e in several if not any(x.main for x in _above(e))) >= 0.5 * total:
+    declared = [e for e in elements.values() if e.main and not any(x.main for x in _above(e))]
+    if declared and sum(e.weight for e in declared) >= 0.5 * total:
         return "\n".join(t for e, t, _ in kept if e.main or any(x.main for x in _above(e)))
+    chosen = max((e for e in elements.values() if e.weight >= total and (e.tag in BLOCK_TAGS or e.parent is None) and e.tag != "p"), key=lambda e: e.depth)
     return "\n".join(t for e, t, _ in kept if e is chosen or any(x is chosen for x in _above(e)))
 
 
