@@ -144,6 +144,50 @@ def test_dense_candidates_lose_no_similar_pair(spark, monkeypatch, texts):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def two_clusters(seed, n=40, length=300):
+    """Two groups by one template, members of a group at a similarity of about 0.8, across about 0.7."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    template, out = fresh(length), []
+    for _ in range(2):
+        head = fresh(20)
+        for _ in range(n):
+            words = head + template
+            at = int(rng.integers(0, length - 30))
+            words[at : at + 26] = fresh(26)
+            out.append(" ".join(words))
+    return [(k, out[k]) for k in rng.permutation(len(out)).tolist()]
+
+
+def test_two_dense_clusters_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 16)  # buckets are cut into parts as well
+    data, want = [], {}
+    for seed in range(20):
+        own = [(1000 * seed + k, t) for k, t in two_clusters(seed)]
+        data += own
+        want |= brute_similar(own, 5, 0.8)
+    assert len(set(want.values())) > 20
+    got = simhash.group(spark.createDataFrame(data, "doc_id long, text string"), words=5, radius=15, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_stars_thin_edges_to_one_a_node():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, (2, 500))
+    node, low = components.stars(a, b)
+    want = brute_components(set(a.tolist()) | set(b.tolist()), zip(a.tolist(), b.tolist()))
+    assert dict(zip(node.tolist(), low.tolist())) == {k: v for k, v in want.items() if k != v} and len(node) == len(set(node.tolist()))
+
+
+def test_chains_over_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    order = rng.permutation(3000).tolist()
+    edges = [(order[k], order[k + 1]) for k in range(2999) if k % 100 != 99] + [(10**6, 10**6 + k) for k in range(500)]
+    table = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))], "a long, b long").repartition(24)
+    got = {r.node: r.component for r in components.connected_components(table).collect()}
+    assert got == brute_components({x for e in edges for x in e}, edges)
+
+
 def test_repeated_lines_do_not_part_equal_sets(spark):
     rng = np.random.default_rng(8)
     line, data = " ".join(f"l{k}" for k in range(10)), []

@@ -13,8 +13,9 @@ and after every eight planes the rows whose lanes have all passed the radius are
 abandoned. A block emits its links if they are few for each row, else a spanning forest.
 Where links need a similarity as well, the forest names the components of candidates, and
 all pairs inside a component count that the forest's verified edges have not joined.
-A bucket larger than ``HEAVY`` is cut into salted parts, compared part against part in
-separate tasks.
+A bucket larger than ``HEAVY`` is cut into salted parts. Each part is compared with itself
+first; then part with part, in separate tasks, where components of the first round still
+differ, so that the links listed stay in proportion to the nodes.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like
 any other; texts of fewer words than a shingle are one shingle; equal fingerprints are
@@ -207,10 +208,10 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
         comp = np.array([root(x) for x in range(n)])[comp]
 
 
-def block_links(fps: np.ndarray, others: np.ndarray, side: np.ndarray, radius: int, second: int | None):
+def block_links(fps: np.ndarray, others: np.ndarray, side: np.ndarray, own: np.ndarray, radius: int, second: int | None):
     """Links (i, j, distance) of one block; rows of side 1 are compared with side 0 only.
 
-    With ``second``, the second fingerprints (``others``) have to be that near too. All links
+    Rows of one ``own`` are joined already: between two of them one link is enough. With ``second``, the second fingerprints (``others``) have to be that near too. All links
     are listed if they are few for each row, else a spanning forest, nearest first.
     """
     above = side > 0
@@ -222,12 +223,15 @@ def block_links(fps: np.ndarray, others: np.ndarray, side: np.ndarray, radius: i
         i, j, d = compare(fps, fps, radius)
         up = i < j
         i, j, d = i[up], j[up], d[up]
+    apart = own[i] != own[j]
+    i, j, d = i[apart], j[apart], d[apart]
     if second is not None:
         more = np.bitwise_count(others[i] ^ others[j]).astype(np.int64)
         near = more <= second
         i, j, d = i[near], j[near], (d + more)[near]
-    if len(i) > PAIRS_PER_ROW * len(fps):
-        keep = spanning_forest(len(fps), i, j, d)
+    if above.any() or len(i) > PAIRS_PER_ROW * len(fps):
+        _, group_of = np.unique(own, return_inverse=True)
+        keep = spanning_forest(int(group_of.max()) + 1, group_of[i], group_of[j], d)
         i, j, d = i[keep], j[keep], d[keep]
     return i, j, d
 
@@ -278,29 +282,37 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int, second: in
     if some:
         counted = keyed.select("bucket", short).join(high, "short", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
         heavy = stored(counted.select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "simhash-heavy")
-    blocks = keyed.select("node", "fp", "fp2", F.col("bucket").alias("block"), F.lit(0).cast("byte").alias("side"))
-    if some:
-        cut = keyed.join(heavy, "bucket", "left")
-        part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-        # part p meets parts p..: as side 0 where it is the lower one, as side 1 where it is the upper
-        dealt = (
-            cut.withColumn("part", part)
-            .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))))
-        )
-        blocks = dealt.select(
-            "node",
-            "fp",
-            "fp2",
-            F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).alias("block"),
-            F.when(F.col("part") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"),
-        )
+    here = lambda df, block, own, side: _linked(df.select("node", "fp", "fp2", block.alias("block"), own.alias("own"), side.cast("byte").alias("side")), radius, second)
+    if not some:
+        return stored(here(keyed, F.col("bucket"), F.col("node"), F.lit(0)), "simhash-edges")
+    part = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int")
+    cut = keyed.join(heavy, "bucket", "left").withColumn("part", part)
+    block = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "part"))
+    first = stored(here(cut, block, F.col("node"), F.lit(0)), "simhash-edges")
+    # part against part, between components only: what the first round has joined needs no link
+    joined = connected_components(first, "simhash-first")
+    known = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("own"))
+    rest = stored(cut.where("parts IS NOT NULL").join(known, "node"), "simhash-parts")
+    apart = lambda df, by: df.join(df.groupBy(by).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select(by), by, "left_semi")
+    dealt = apart(rest, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
+    dealt = dealt.withColumn("block", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    dealt = stored(dealt.select("node", "fp", "fp2", "block", "own", F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side")), "simhash-dealt")
+    across = stored(here(apart(dealt, "block"), F.col("block"), F.col("own"), F.col("side")), "simhash-across")
+    for done in (rest, dealt):
+        forget(done)
+    return first.unionByName(across)
+
+
+def _linked(blocks: DataFrame, radius: int, second: int | None) -> DataFrame:
+    """Links (a, b, distance) of the rows (node, fp, fp2, block, own, side) of each block: rows of side 1
+    meet side 0 only, and rows of one ``own`` need no link."""
 
     def run(batches):
         held: list[np.ndarray] = []
         size = 0
 
         def work(rows):
-            block, node, fp, side, fp2 = rows
+            block, node, fp, side, fp2, own = rows
             edges = []
             start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             stop = np.concatenate([start[1:], [len(block)]])
@@ -315,11 +327,11 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int, second: in
                         total += int(stop[e] - start[e])
                         e += 1
                 at = np.concatenate([np.arange(i, j) for i, j in zip(start[k:e].tolist(), stop[k:e].tolist())])
-                own, first = np.unique(node[at], return_index=True)
+                _, first = np.unique(node[at], return_index=True)
                 if side[at].any():
                     first = np.arange(len(at))
                 at = at[first]
-                i, j, d = block_links(fp[at].view(np.uint64), fp2[at].view(np.uint64), side[at], radius, second)
+                i, j, d = block_links(fp[at].view(np.uint64), fp2[at].view(np.uint64), side[at], own[at], radius, second)
                 if len(i):
                     edges.append(np.stack([node[at[i]], node[at[j]], d]))
                 k = e
@@ -331,7 +343,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int, second: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]))
             size += batch.num_rows
             if size >= 1 << 18:
                 rows = np.concatenate(held, axis=1)
@@ -341,7 +353,7 @@ def links(nodes: DataFrame, rows: int, masks: list[int], radius: int, second: in
         if held:
             yield from work(np.concatenate(held, axis=1))
 
-    return blocks.select("block", "node", "fp", "side", "fp2").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), "a long, b long, distance long")
+    return blocks.select("block", "node", "fp", "side", "fp2", "own").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(run), "a long, b long, distance long")
 
 
 def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
@@ -356,7 +368,7 @@ def group(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     nodes = stored(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     n = nodes.count()
     masks = sampled_masks(n, similarity) if strict else pigeonhole_masks(n, radius)
-    edges = stored(links(nodes, n, masks, radius, radius + SECOND_MORE if strict else None), "simhash-edges")
+    edges = links(nodes, n, masks, radius, radius + SECOND_MORE if strict else None)
     if strict:
         # rows without an id are known by their number, which only ``prints`` has
         named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
