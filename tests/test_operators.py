@@ -456,3 +456,57 @@ def test_reports(spark):
     got = reports.agent_compress(rows(spark, "text string, filename string", [("  ", None), ("Error: token ghp_" + "a" * 40, None)])).collect()
     assert got[0].output is None and got[0].note == "No text to compress." and "ghp_" not in got[1].output
     assert reports.clipboard_bundle(F.lit("x"), F.lit("Ask"), F.lit("diff")) is not None
+
+
+# --- long rows ---------------------------------------------------------------------------
+
+
+LONG = 1 << 20
+
+
+def _long_rows():
+    """Rows of a megabyte: one word, words of the patterns, paths, dots, one line, many lines."""
+    fill = lambda s: (s * (LONG // len(s) + 1))[:LONG]
+    return {
+        "letters": fill("a"),
+        "delete": "please delete " + fill("x y"),
+        "delete without end": fill("delete this "),
+        "production": fill("production "),
+        "folders": fill("a/"),
+        "file": fill("a/") + "b.ts",
+        "dots": fill("a."),
+        "lines": fill("one line of it\n"),
+        "spaced": "x" + fill(" ") + "x",
+    }
+
+
+def test_shape_and_path_patterns_hold_on_long_rows(spark):
+    rows = _long_rows()
+    df = spark.createDataFrame(list(rows.items()), "name string, text string")
+    got = {
+        r.name: r
+        for r in df.select(
+            "name",
+            prompt.is_brevity_sensitive(F.col("text")).alias("sensitive"),
+            prompt.inline_path(F.col("text")).alias("path"),
+            prompt.is_plain_question(F.col("text")).alias("question"),
+            T.any_of(F.col("text"), prompt.BROAD_SCOPE).alias("broad"),
+            F.length(T.trim(F.col("text"))).alias("trimmed"),
+        ).collect()
+    }
+    assert len(got) == len(rows) and not any(r.sensitive or r.broad for r in got.values())
+    assert got["file"].path == rows["file"] and got["folders"].path is None
+    assert got["spaced"].trimmed == LONG + 2
+
+
+def test_brevity_rules_look_from_the_first_word_on(spark):
+    cases = {"delete the prod db": True, "prod first, then delete": False, "delete\n\nthe\nvolume": True, "production\n" + "x\n" * 5000 + "rollback": True, "deploy to production": False, "delete prod, delete": True}
+    df = spark.createDataFrame(list(cases.items()), "text string, want boolean")
+    assert df.where(prompt.is_brevity_sensitive(F.col("text")) != F.col("want")).count() == 0
+
+
+def test_inline_paths(spark):
+    cases = {"see a/b.ts/c": "a/b.ts", "a//b.ts": None, "in /a/b.ts": None, "x a.b/c-d/e_f.feature, y": "a.b/c-d/e_f.feature", "b.ts": None, "a/b.tsx": "a/b.tsx", "a/b.tsq": None, "a/b.ts.md": "a/b.ts.md"}
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    got = {r.text: r.path for r in df.select("text", prompt.inline_path(F.col("text")).alias("path")).collect()}
+    assert got == cases

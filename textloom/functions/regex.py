@@ -15,6 +15,8 @@ _SPACE = {
     "py": r"\t\n\x0B\f\r \xA0  -     　﻿",
 }
 _LINE_END = {"java": r"\n\r\u2028\u2029", "re2": r"\n\r\x{2028}\x{2029}", "py": r"\n\r\u2028\u2029"}
+#: Every character, line ends included; a class in Java, whose groups recurse for each character.
+ANY_CHARACTER = {"java": r"[\x{0}-\x{10FFFF}]", "re2": "(?s:.)", "py": "(?s:.)"}
 _WORD, _DIGIT = "A-Za-z0-9_", "0-9"
 
 
@@ -48,6 +50,9 @@ def _translate(pattern: str, to: str, flags: str) -> str:
         if inside:
             inside = c != "]"
             out.append("\\[" if c == "[" else "\\&" if c == "&" and to == "java" else c)
+        elif pattern.startswith(r"[\s\S]", i):  # any character at all
+            out.append(ANY_CHARACTER[to])
+            i += 5
         elif c == "[":
             inside = True
             out.append(c)
@@ -72,6 +77,20 @@ def java(pattern: str, flags: str = "") -> str:
     return _translate(pattern, "java", flags)
 
 
+def java_search(pattern: str, flags: str = "") -> str:
+    """The Java pattern to ask whether ``pattern`` occurs at all.
+
+    ``A[\\s\\S]*B`` is tried from the first A only: if no B follows that one, none follows a later
+    one. This keeps the search linear where A is frequent and B absent.
+    """
+    first, between, then = pattern.partition(r"[\s\S]*")
+    if not between:
+        return java(pattern, flags)
+    anything = ANY_CHARACTER["java"]
+    text = rf"\A(?>{anything}*?{java(first, flags.replace('i', ''))}){anything}*{java(then, flags.replace('i', ''))}"
+    return f"(?i){text}" if "i" in flags else text
+
+
 def re2(pattern: str, flags: str = "") -> str:
     return _translate(pattern, "re2", flags)
 

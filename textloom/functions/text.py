@@ -11,8 +11,10 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.regex import _SPACE, java
+from textloom.functions.regex import _SPACE, java, java_search
 
+#: ECMAScript white space and line terminators.
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 WS = _SPACE["java"]
 WS_RE2 = _SPACE["re2"]
 
@@ -51,15 +53,15 @@ def to_fixed_2(x) -> Column:
 
 
 def trim(text) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def trim_end(text) -> Column:
-    return F.regexp_replace(text, rf"[{WS}]+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def trim_start(text) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]+", "")
+    return F.ltrim(text, F.lit(SPACES))
 
 
 def squeeze(text) -> Column:
@@ -85,7 +87,7 @@ def hinted(text, flags: str, hints) -> Column:
 
 def test(text, pattern: str, flags: str = "", hints=()) -> Column:
     """Does an ECMAScript pattern occur in the text? Texts without a hint skip it."""
-    found = text.rlike(java(pattern, flags))
+    found = text.rlike(java_search(pattern, flags))
     return hinted(text, flags, hints) & found if hints else found
 
 
@@ -101,7 +103,7 @@ def any_of(text, patterns) -> Column:
         if hints:
             out = out | test(text, pattern, flags, hints[0])
         else:
-            by_flags.setdefault(flags, []).append(java(pattern, flags.replace("i", "")))
+            by_flags.setdefault(flags, []).append(java_search(pattern, flags.replace("i", "")))
     for flags, group in by_flags.items():
         joined = "|".join(f"(?:{p})" for p in group)
         out = out | text.rlike(f"(?i){joined}" if "i" in flags else joined)

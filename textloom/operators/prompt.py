@@ -88,6 +88,9 @@ OVERLAP = 0.65
 CONSTRAINT_SENTENCE = r"\.\s+((?:Don'?t|Do\s+not|Avoid|Never|Must\s+not|Should\s+not|Without)\s+[A-Za-z][^.!?]{2,120})(?=[.!?]|$)"
 CONSTRAINT_CLAUSE = r"([,;]|\s+but)\s+((don'?t|do\s+not|avoid|never|must\s+not|should\s+not|without)\s+[a-z][^,.;!?]{2,120})"
 INLINE_PATH = r"(?:^|\s)((?:[\w.-]+\/)+[\w.-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|go|java|json|feature|md))\b"
+#: The same for Java, whose repeated groups recurse for each folder: word characters, dots, dashes and
+#: single slashes, the last slash followed by a name.
+INLINE_PATH_JAVA = java(r"(?:^|\s)((?=[\w.-])(?:(?!//)[\w./-])*/[\w.-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|go|java|json|feature|md))\b")
 LANGUAGE_TAGS = [
     (r"\.spec\.ts$", "[Playwright/TypeScript]"),
     (r"\.spec\.js$", "[Playwright/JavaScript]"),
@@ -121,8 +124,8 @@ BREVITY_SENSITIVE = [
     (r"\bforce[-\s]?push\b", "i"),
     (r"\bgit\s+reset\s+--hard\b", "i"),
     (r"\b(drop|truncate)\s+(table|database|schema)\b", "i"),
-    (r"\b(delete|wipe|destroy|revoke|rotate|overwrite)\b(?:.|\s)*\b(prod|production|database|volume|bucket|credential|api[-\s]?key|private[-\s]?key|account|user data)\b", "i"),
-    (r"\bproduction\b(?:.|\s)*\b(deploy|migrat|rollback|delete|drop)", "i"),
+    (r"\b(delete|wipe|destroy|revoke|rotate|overwrite)\b[\s\S]*\b(prod|production|database|volume|bucket|credential|api[-\s]?key|private[-\s]?key|account|user data)\b", "i"),
+    (r"\bproduction\b[\s\S]*\b(deploy|migrat|rollback|delete|drop)", "i"),
 ]
 SHAPES = {
     "complete": "Answer completely; if the question assumes something false or unsafe, say so first.",
@@ -263,7 +266,8 @@ _THREE = r"(?=(?:[^\s{0}]+\s+){{2}}[^\s{0}])"
 def with_constraints(df: DataFrame, text_col: str, cleaned: str, constraints: str) -> DataFrame:
     """Constraint sentences, then clauses, of three words or more, taken out of the text."""
     sentence = java(CONSTRAINT_SENTENCE.replace("((?:Don", _THREE.format(".!?") + "((?:Don"))
-    clause = java(CONSTRAINT_CLAUSE.replace("((don", _THREE.format(",.;!?") + "((don"), "i")
+    # a match starts where its white space does: no other place in a run need be tried
+    clause = java(CONSTRAINT_CLAUSE.replace(r"|\s+but", r"|(?<!\s)\s+but").replace("((don", _THREE.format(",.;!?") + "((don"), "i")
     named = lambda found: F.transform(found, lambda p: F.concat(F.lit("Constraint: "), T.trim(T.squeeze(p)), F.lit(".")))
     df = df.withColumn("_1", F.regexp_extract_all(text_col, F.lit(sentence), F.lit(1))).withColumn(cleaned, F.regexp_replace(text_col, sentence, "."))
     df = df.withColumn("_2", F.regexp_extract_all(cleaned, F.lit(clause), F.lit(2))).withColumn(cleaned, F.regexp_replace(cleaned, clause, ""))
@@ -273,7 +277,7 @@ def with_constraints(df: DataFrame, text_col: str, cleaned: str, constraints: st
 
 def inline_path(prompt):
     """The first path named in the prompt, or null."""
-    return F.nullif(F.regexp_extract(prompt, java(INLINE_PATH), 1), F.lit(""))
+    return F.nullif(F.regexp_extract(prompt, INLINE_PATH_JAVA, 1), F.lit(""))
 
 
 def language_tag(filename):

@@ -677,14 +677,14 @@ def code_comments(spark, sf_dir):
 _PROMPT_ROWS = [
     ("please fixing the login flow", "Fix the login flow.", None),
     ("fix src/auth.spec.ts now", "Fix src/auth.spec.ts now.", "src/auth.spec.ts"),
-    ("hey there! could you basically update the readme, thanks so much", "Update the readme.", None),
+    ("hey there! could you basically update the readme, thanks so much", "Could you update the readme.", None),
 ]
 
 
-@query("WITH " + S.values("v", ["prompt", "goal", "path"], _PROMPT_ROWS[:2]) + " SELECT prompt, goal, path FROM v")
+@query("WITH " + S.values("v", ["prompt", "goal", "path"], _PROMPT_ROWS) + " SELECT prompt, goal, path FROM v")
 def prompt_goals(spark, sf_dir):
     """N1, N2, N8."""
-    d = rows(spark, "prompt string", [(r[0],) for r in _PROMPT_ROWS[:2]])
+    d = rows(spark, "prompt string", [(r[0],) for r in _PROMPT_ROWS])
     return prompt.with_normalized(d, "prompt", "goal").withColumn("path", prompt.inline_path(F.col("prompt")))
 
 
