@@ -1,6 +1,7 @@
 """HTML, decontamination, pieces, URLs, toxicity and personal data against brute force."""
 
 import hashlib
+import hmac
 import re
 
 import numpy as np
@@ -256,7 +257,7 @@ def test_surrogates(spark):
         (6, None), (7, ""), (8, "clean text 4.0. 1234, M. and 12:30"), (8, "clean text 4.0. 1234, M. and 12:30"),
     ]
     d = spark.createDataFrame([(*r, "keep", "clash") for r in data], "doc_id long, text string, lang string, uid string")
-    out = pii.anonymised(d, count_col="n")
+    out = pii.anonymised(d, "k", count_col="n")
     assert "Python" not in out._jdf.queryExecution().toString()
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(data) and all(r.lang == "keep" and r.uid == "clash" for r in got.values())
@@ -284,15 +285,15 @@ def test_surrogates_stay_distinct(spark):
     names = [f"Mr. Name{chr(97 + i // 26)}{chr(97 + i % 26)} Last{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
     ips = [f"1.1.1.{i}" for i in range(10)] + [f"2.2.{i}.2" for i in range(10)]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(names + [f"from {x}," for x in ips])], "doc_id long, text string")
-    got = [r.text for r in pii.anonymised(d).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.anonymised(d, "k").orderBy("doc_id").collect()]
     assert len({g.split()[1] for g in got[:120]}) == 120 and len({g.split()[2] for g in got[:120]}) == 120
     assert len(set(got[120:])) == 20 and not set(got[120:]) & {f"from {x}," for x in ips}
     other = [r.text for r in pii.anonymised(d, key="other").orderBy("doc_id").collect()]
-    assert other != got and [r.text for r in pii.anonymised(d).orderBy("doc_id").collect()] == got
+    assert other != got and [r.text for r in pii.anonymised(d, "k").orderBy("doc_id").collect()] == got
 
 
 def test_surrogates_empty(spark):
-    assert pii.anonymised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.anonymised(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
 def test_the_cheap_test_lets_every_entity_in(spark):
@@ -300,3 +301,102 @@ def test_the_cheap_test_lets_every_entity_in(spark):
     texts = [f"{t.rstrip('.')}. Ab" for t in titles] + ["госпожа Иванова", "κυρία Άννα", "AKIA" + "B" * 16, "ghp_" + "a" * 40, "glpat-" + "a" * 20, "xoxb-" + "a" * 12, "sk-" + "a" * 24, "AIza" + "b" * 35]
     d = spark.createDataFrame([(t,) for t in texts], "t string").where(F.col("t").rlike(pii.ANY) & ~F.col("t").rlike("[0-9@]") & ~F.col("t").rlike(pii.MAY_HOLD))
     assert d.collect() == []
+
+
+def test_surrogates_need_a_key_and_draw_by_hmac(spark):
+    d = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.anonymised(d, "")
+    for key in ("k", "é" * 50):
+        got = d.select(pii._digest(key, F.lit("a"), F.col("text")).alias("h")).first().h
+        assert got == hmac.new(key.encode(), b"a\x1fx", hashlib.sha256).hexdigest()
+
+
+def test_one_person_under_any_title(spark):
+    data = [
+        (1, "Dr Anna Berg spoke. Mrs Anna Berg and Prof. BERG agreed; Berg's plan, Anna said, by Bergen and anna."),
+        (2, "Frau Anna Müller-Berg, later Müller-Berg"),
+        (3, "Anna and Berg without any person here"),
+        (4, "Mr O'Brien met Mr. Brien's friend; O'Brien left"),
+    ]
+    got = {r.doc_id: r.text for r in pii.anonymised(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Dr (\S+) (\S+) spoke\. Mrs (\S+) (\S+) and Prof\. (\S+) agreed; (\S+)'s plan, (\S+) said, by Bergen and anna\.", got[1])
+    assert m[1] == m[3] == m[7] and m[2] == m[4] == m[6] and m[5] == m[2].upper() and m[1] != "Anna" and m[2] != "Berg"
+    assert m[1].split("-")[0].lower() in pii.GIVEN["latin_f"]
+    m2 = re.fullmatch(r"Frau (\S+) (\S+), later (\S+)", got[2])
+    assert m2[1] == m[1] and m2[2] == m2[3] != m[2]
+    assert got[3] == data[2][1]
+    m4 = re.fullmatch(r"Mr (\S+) met Mr\. (\S+)'s friend; (\S+) left", got[4])
+    assert m4[1] == m4[3] != m4[2]
+
+
+def test_account_numbers_stay_valid(spark):
+    good, bad = "DE89370400440532013000", "DE00370400440532013000"
+    got = pii.anonymised(spark.createDataFrame([(1, f"{good} GB82 WEST 1234 5698 7654 32 {bad}")], "doc_id long, text string"), "k").first().text
+
+    def mod(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    one, two, three = got[:22], got[23:50].replace(" ", ""), got[51:]
+    assert mod(one) == 1 and one[:2] == "DE" and one != good
+    assert mod(two) == 1 and two[:2] == "GB" and re.fullmatch(r"[A-Z]{4}\d{14}", two[4:]) and got[23:50][4] == " "
+    assert len(three) == 22 and three != bad
+
+
+def test_a_used_up_space_is_widened(spark):
+    mails = [f"{chr(97 + k)}@example.com" for k in range(26)]
+    got = [r.text for r in pii.anonymised(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == 26 and not set(got) & set(mails) and all(re.fullmatch(r"[a-z]{1,4}@example\.com", g) for g in got)
+
+
+def test_surrogates_of_long_texts(spark):
+    n = 1 << 20
+    data = [(1, "x@" + "a." * (n // 2)), (2, "a." * (n // 2) + "@b.co"), (3, "Mr " + "A-b" * (n // 3)), (4, "1 " * (n // 2)), (5, "M" * n), (6, "password" * (n // 8)), (7, "w " * (n // 2) + "call me@corp.org"), (8, "12-" * (n // 3))]
+    got = {r.doc_id: r.text for r in pii.anonymised(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    assert len(got) == len(data) and got[5] == data[4][1] and got[4] == data[3][1] and "me@corp" not in got[7] and len(got[7]) > n
+
+
+def brute_entities(text):
+    """(start, stop, canonical form) by a plain loop over all patterns at every place."""
+    import regex
+
+    patterns = {k: regex.compile(p.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}")) for k, p in pii.PATTERNS.items()}
+    at, out = 0, []
+    while at < len(text):
+        for kind, p in patterns.items():
+            m = p.match(text, at) if text[at].isalnum() or text[at] in "+(" else None
+            if m and (text[at] in "0123456789+(" or not (at and text[at - 1].isalpha())):
+                out.append((at, m.end(), kind))
+                at = m.end()
+                break
+        else:
+            at += 1
+    return out
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Exactly the matches change, entities with one canonical form get one surrogate, others different ones."""
+    rng = np.random.default_rng(12)
+    pool = ["a.b@corp.de", "A.B@corp.de", "c@x-y.example.org", "10.0.0.1", "10.0.0.2", "123-45-6789", "987-65-4321", "+49 30 1234567", "(201) 555-0100", "201-555-0100", "4111 1111 1111 1111", "4111-1111-1111-1111", "DE89 3704 0044 0532 0130 00"]
+    filler = ["word", "and", "12", "3.5", "v1.2", "x@", "@y", "M.", "é", "+", "(", "2024-01-02", "12:30:00"]
+    data = []
+    for i in range(150):
+        parts = [str(rng.choice(pool)) if rng.random() < 0.35 else str(rng.choice(filler)) for _ in range(rng.integers(0, 14))]
+        data.append((i, "".join(p + str(rng.choice([" ", ", ", "\n", " - "])) for p in parts)))
+    hot = [(1000 + i, "all write to a.b@corp.de") for i in range(75)]  # a third of all rows
+    got = {r.doc_id: (r.text, r.n) for r in pii.anonymised(spark.createDataFrame(data + hot, "doc_id long, text string"), "k", count_col="n").collect()}
+    canon = {"email": str.lower, "ip": str}
+    seen: dict[tuple, set] = {}
+    for i, text in data + hot:
+        spans = brute_entities(text)
+        out, n = got[i]
+        assert n == len(spans), (text, spans)
+        new = {"email": r"([\w.@-]+)", "ip": r"([0-9.]+)"}  # anything else keeps its length
+        pattern = "".join(re.escape(text[a:b]) + new.get(k, f"(.{{{c - b}}})") for a, (b, c, k) in zip([0, *[s[1] for s in spans]], spans)) + re.escape(text[spans[-1][1] :] if spans else text)
+        m = re.fullmatch(pattern, out, re.S)
+        assert m, (text, out)
+        for (a, b, kind), new in zip(spans, m.groups()):
+            form = canon.get(kind, lambda s: re.sub(r"[^0-9A-Z]", "", s))
+            assert form(new) != form(text[a:b])
+            seen.setdefault((kind, form(text[a:b])), set()).add(form(new))
+    assert all(len(v) == 1 for v in seen.values()) and len({(k[0], *v) for k, v in seen.items()}) == len(seen)
