@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, pieces, pii, simhash, toxicity
 from textloom.llm.common import stored, table
+from textloom.llm.queries import surrogate_key
 
 #: No SQL can train the toxicity chain or segment into pieces; tests use brute force.
 ORACLE_SQL = None
@@ -42,7 +43,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data and secrets."""
-    return _measured(pii.anonymised(docs), docs.columns)
+    return _measured(pii.anonymised(docs, surrogate_key(spark)), docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
