@@ -65,6 +65,19 @@ def test_assign_empty(spark):
 # --- Re-Pair ------------------------------------------------------------------------------
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    data = [(1, "same"), (1, "same"), (1, "same"), (None, "no id"), (None, None), (3, "c"), (2, "")]
+    table = spark.createDataFrame([(*r, "s", k) for k, r in enumerate(data)], "doc_id long, text string, shard string, n int")
+    sharding.write_shards(table, f"{tmp_path}/shards", shards=3)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert set(back.columns) == {"doc_id", "text", "shard", "n", "slot", "shard_"}
+    got = back.collect()
+    assert sorted(r.n for r in got) == list(range(len(data))) and all((r.doc_id, r.text, r.shard) == (*data[r.n], "s") for r in got)
+    key = lambda r, shard: (str(r["doc_id"]), r[shard], r["slot"])
+    assert sorted(key(r, "shard_") for r in got) == sorted(key(r, "shard") for r in sharding.assign(table, shards=3).collect())
+    sharding.write_shards(table.limit(0), f"{tmp_path}/none", shards=3)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repair_round_trip(seed):
     rng = np.random.default_rng(seed)
@@ -166,3 +179,21 @@ def test_word_cache_survives_forgetting():
     for part in (texts[:3], texts[3:], texts):
         ids, n = encoder.encode(part)
         assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(TOKENS.path("byte_bpe_50k.json")))
+    assert token_files.imitated(spec)
+    texts = ["It's  the first\n\ntext 12", "", " x", "été don't"]
+    for k, change in enumerate(({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}})):
+        other = spec | change
+        assert not token_files.imitated(other)
+        path = str(tmp_path / f"{k}.json")
+        json.dump(other, open(path, "w"))
+        ids, n = token_files.WordCachedTokenizer(path).encode(texts)
+        want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]

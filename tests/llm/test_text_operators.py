@@ -109,6 +109,37 @@ def test_a_benchmark_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(decontaminate.scan(d, b, 4)).collect())) == whole
 
 
+def test_long_words_and_shared_hashes(spark, monkeypatch):
+    a, b = "a" * 256, "b" * 256
+    long = "語" * 400
+    docs = [(1, f"x {a}{b} y"), (2, f"{b}{a}"), (3, f"{long}語 {long}"), (4, f"{a} {b}"), (5, "w " * 5 + "u v")]
+    items = [("p", f"{a}{b}"), ("q", f"{b}{a}"), ("r", long), ("s", "u v")]
+    run = lambda: {r["doc_id"]: (r.n_hit, r.n_items) for r in decontaminate.report(decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))).collect()}
+    want = {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (2, 1)}
+    assert run() == want
+    # all words share one hash: spelling alone decides
+    texts = [t for _, t in docs]
+    monkeypatch.setattr(decontaminate, "words_of", lambda raw, real=decontaminate.words_of: (lambda s, e, h: (s, e, h * 0))(*real(raw)))
+    _, spans, found, _ = decontaminate.search_shard(texts, decontaminate.Phrases(items, 10))
+    assert {k + 1: (sum(b - a for a, b in s), len(f)) for k, (s, f) in enumerate(zip(spans, found))} == want
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PHRASE_BYTES", 400)
+    rng = np.random.default_rng(1)
+    item = [f"w{k}" for k in rng.integers(0, 30, 300)]
+    docs = [(k, " ".join(item[k : k + 6]) + " end") for k in range(0, 296)] + [(999, " ".join(item[5:8] + item[200:203]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", " ".join(item)), ("b", "w1 w2"), ("c", "?" * 100)], "item_id string, text string")
+    items = [("a", " ".join(item)), ("b", "w1 w2"), ("c", "?" * 100)]
+    pieces = [(r["item"], r.text) for r in decontaminate._pieces(b.select(F.col("item_id").alias("item"), "text"), 5).collect()]
+    assert max(len(t) for _, t in pieces) <= 100 and len(pieces) > 20
+    brute = {i: brute_hits(t, items, 5) for i, t in docs}
+    assert {i: brute_hits(t, pieces, 5) for i, t in docs} == brute
+    monkeypatch.setattr(decontaminate, "PHRASE_BYTES", 3000)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(decontaminate.scan(d, b, 5)).collect()}
+    assert got == {i: (n, h, len(f)) for i, (n, h, f) in brute.items()}
+
+
 def test_empty_benchmark_and_table(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert tuple(decontaminate.report(decontaminate.scan(d, b)).first())[:4] == (1, 2, 0, 0)

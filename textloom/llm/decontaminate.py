@@ -10,8 +10,9 @@ stepping back (LF) from each row of the range to a sampled suffix position. Thei
 spans are merged per document.
 
 Texts: A-Z lower-cased, words are runs of bytes 0-9, a-z and 0x80 up (in a pattern,
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``). Two words are the same symbol if two 64-bit
-hashes agree; the words of every located occurrence are then compared as text.
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``). Words of one 64-bit hash are one
+symbol; the words of every located occurrence are then compared as text, so that a shared
+hash costs time and no result.
 
 Defined cases: null or wordless texts have no words and no hits; items of fewer words
 than a window are one window; wordless items match nothing; rows that repeat an item id
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import small_batches, stored, tidied
 
-#: A benchmark larger than this many bytes of text is searched in parts, a pass each.
+#: A benchmark larger than this many bytes of text is searched in parts of about half of that, a pass each.
 PHRASE_BYTES = 4 << 20
 #: Bytes of text in one index.
 SHARD_BYTES = 2 << 20
@@ -42,76 +43,69 @@ _FOLD = bytes(range(256)).lower()
 # --- words -------------------------------------------------------------------------------
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    b = np.uint64(base)
-    with np.errstate(over="ignore"):
-        for k in range(1, n):
-            out[k] = out[k - 1] * b
-    return out
+_BASE = 0x9E3779B97F4A7C15
 
 
-_P1, _P2 = _powers(0x9E3779B97F4A7C15, 256), _powers(0xC2B2AE3D27D4EB4F, 256)
+def _powers(n: int) -> np.ndarray:
+    steps = np.full(n, _BASE, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
-def _finish(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    x = x ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+_POWERS = _powers(256)
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and stop of each word in ``raw`` (already lower-cased), and two hashes of each."""
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of each word in ``raw`` (already lower-cased), and a hash of each."""
     data = np.frombuffer(raw, np.uint8)
     inside = np.concatenate([[False], _IS_WORD[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edge[0::2], edge[1::2]
     if not len(start):
-        return start, stop, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return start, stop, np.zeros(0, np.uint64)
     size = stop - start
     with np.errstate(over="ignore"):
         letters = data[inside[1:-1]].astype(np.uint64) + np.uint64(1)
         first = np.cumsum(size) - size
         place = np.arange(len(letters)) - np.repeat(first, size)
-        place &= 255  # longer words wrap around; the size and the final comparison tell them apart
-        one = _finish(np.add.reduceat(letters * _P1[place], first), size)
-        two = _finish(np.add.reduceat(letters * _P2[place], first), size)
-    return start, stop, one, two
+        longest = int(size.max())
+        powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+        x = np.add.reduceat(letters * powers[place], first)
+        x ^= size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return start, stop, x ^ (x >> np.uint64(32))
 
 
 class Phrases:
-    """The windows of all benchmark items as rows of symbols (0 ends the shard, 1 is any other word)."""
+    """The windows of all benchmark items as rows of symbols (0 ends the shard, 1 is any other word).
+
+    A symbol is a hash: words that share one share a symbol, and occurrences are told apart by spelling."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         raws = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for _, t in items]
         found = [words_of(r) for r in raws]
         spelled = [[r[i:j] for i, j in zip(f[0].tolist(), f[1].tolist())] for r, f in zip(raws, found)]
-        words = sorted({w for ws in spelled for w in ws})
-        number = {w: k for k, w in enumerate(words)}
-        _, _, one, two = words_of(b" ".join(words))
-        order = np.argsort(one, kind="stable")
-        self.one, self.two, self.symbol = one[order], two[order], (order + 2).astype(np.int32)
-        if len(np.unique(one)) != len(one):
-            raise ValueError("two benchmark words share a hash")
-        self.words, self.alphabet = words, len(words) + 2
-        of: dict[tuple[int, ...], set[str]] = {}
+        hashed = {w: h for ws, f in zip(spelled, found) for w, h in zip(ws, f[2].tolist())}
+        self.hashes = np.unique(np.fromiter(hashed.values(), np.uint64, len(hashed)))
+        symbol = {h: k + 2 for k, h in enumerate(self.hashes.tolist())}
+        self.alphabet = len(self.hashes) + 2
+        of: dict[tuple[bytes, ...], set[str]] = {}
         for (item, _), ws in zip(items, spelled):
-            s = [number[w] + 2 for w in ws]
-            for k in range(max(1, len(s) - window + 1) if s else 0):
-                of.setdefault(tuple(s[k : k + window]), set()).add(item)
+            for k in range(max(1, len(ws) - window + 1) if ws else 0):
+                of.setdefault(tuple(ws[k : k + window]), set()).add(item)
         self.rows = sorted(of, key=lambda p: (len(p), p))
         self.items = [sorted(of[p]) for p in self.rows]
         self.sizes = np.array([len(p) for p in self.rows], np.int64)
         self.longest = int(self.sizes.max()) if len(self.sizes) else 0
         self.table = np.zeros((len(self.rows), self.longest), np.int32)
         for k, p in enumerate(self.rows):
-            self.table[k, self.longest - len(p) :] = p  # right-aligned: the search goes backwards
+            self.table[k, self.longest - len(p) :] = [symbol[hashed[w]] for w in p]  # right-aligned: the search goes backwards
 
-    def symbols(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        if not len(self.one):
-            return np.ones(len(one), np.int32)
-        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
-        return np.where((self.one[at] == one) & (self.two[at] == two), self.symbol[at], 1).astype(np.int32)
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 2, 1).astype(np.int32)
 
 
 # --- the index ---------------------------------------------------------------------------
@@ -227,7 +221,7 @@ def search_shard(texts: list[str | None], phrases: Phrases):
     and the start and stop byte of each word of the whole shard with each text's first word."""
     raws = [(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts]
     joined = b" ".join(raws)
-    start, stop, one, two = words_of(joined)
+    start, stop, hashes = words_of(joined)
     bound = np.cumsum([len(r) + 1 for r in raws])
     n_words = np.diff(np.concatenate([[0], np.searchsorted(start, bound)]))
     first = np.cumsum(n_words) - n_words
@@ -235,7 +229,7 @@ def search_shard(texts: list[str | None], phrases: Phrases):
     if len(start) and len(phrases.rows):
         place = np.arange(len(start)) + np.repeat(np.arange(len(texts)), n_words)  # a 1 after each document
         seq = np.ones(len(start) + len(texts) + 1, np.int32)
-        seq[place] = phrases.symbols(one, two)
+        seq[place] = phrases.symbols(hashes)
         seq[-1] = 0
         keep = np.concatenate([[True], (seq[1:] != 1) | (seq[:-1] != 1)])
         origin = np.flatnonzero(keep)
@@ -250,7 +244,7 @@ def search_shard(texts: list[str | None], phrases: Phrases):
         doc = np.searchsorted(first + n_words, word, "right")
         for k, w, d in zip(np.repeat(found, count).tolist(), word.tolist(), doc.tolist()):
             e = w + int(phrases.sizes[k])
-            if [joined[i:j] for i, j in zip(start[w:e].tolist(), stop[w:e].tolist())] == [phrases.words[s - 2] for s in phrases.rows[k]]:
+            if [joined[i:j] for i, j in zip(start[w:e].tolist(), stop[w:e].tolist())] == list(phrases.rows[k]):
                 spans[d].append((w - int(first[d]), e - int(first[d])))
                 items[d].update(phrases.items[k])
     return n_words, [merge(x) for x in spans], items, (start, stop, first)
@@ -272,7 +266,7 @@ def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     if not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
-    start, stop, _, _ = words_of(raw.translate(_FOLD))
+    start, stop, _ = words_of(raw.translate(_FOLD))
     parts, at = [], 0
     for a, b in spans:
         parts.append(raw[at : start[a]])
@@ -283,12 +277,35 @@ def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 # --- the corpus --------------------------------------------------------------------------
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """The benchmark in parts of bounded size, split by its texts."""
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """(item, text): long items cut into overlapping pieces that have the same windows."""
+    most = PHRASE_BYTES // 8
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, at = text.encode("utf-8", "surrogatepass"), 0
+                start, stop, _ = words_of(raw.translate(_FOLD)) if len(raw) > most else ([], [], None)
+                pieces = [] if len(start) > window else [text]
+                while at + window <= len(start) and not (pieces and at + window - 1 == len(start)):
+                    end = max(at + window, int(np.searchsorted(stop, start[at] + most, "right")))
+                    pieces.append(raw[start[at] : stop[end - 1]].decode("utf-8", "surrogatepass"))
+                    at = end - window + 1
+                for piece in pieces:
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item], pa.string()), "text": pa.array([piece], pa.string())})
+
+    return items.mapInArrow(run, "item string, text string")
+
+
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[DataFrame]:
+    """The benchmark in parts of bounded size; a large one is cut into pieces, dealt by their hashes."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-size // PHRASE_BYTES)
-    return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    if size <= PHRASE_BYTES:
+        return [items]
+    n = -(-2 * size // PHRASE_BYTES)
+    pieces = stored(_pieces(items, window), "decontaminate-pieces")
+    return [pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, cut: bool = False) -> DataFrame:
@@ -342,7 +359,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         F.expr("cast(array() as array<string>)").alias("items"),
         F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_")).alias("rest"),
     )
-    parts = _parts(benchmark, item_col, item_text_col)
+    parts = _parts(benchmark, item_col, item_text_col, window)
     for k, part in enumerate(parts):
         items = [(r["item"], r["text"]) for r in part.collect()]
         found = _pass(found, items, window, cut and k + 1 == len(parts))

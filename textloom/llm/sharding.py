@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,40 +78,57 @@ def locate(place: np.ndarray, n: int, key: int = 0) -> np.ndarray:
     return _walk(place, n, key, back=True)
 
 
+def _order(id_col: str, text_col: str):
+    """What rows are numbered by."""
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long")
+    return F.col(id_col).alias("doc_id"), crc.alias("text_crc32"), F.xxhash64(text_col).alias("_h")
+
+
 def assign(docs: DataFrame, shards: int = 8, key: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, global row number, place, shard and slot.
 
     Only narrow columns are sorted; texts are read once and never shuffled.
     """
-    narrow = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(text_col).alias("_h"),
-    )
+    doc_id, crc, h = _order(id_col, text_col)
+    narrow = docs.select(doc_id, (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"), crc, h)
     rows, n = numbered(narrow, ["doc_id", "_h", "text_crc32"], "shard-rows")
 
-    def place(batches):
-        for batch in batches:
-            p = permute(batch.column("row_number_global").to_numpy(zero_copy_only=False), n, key) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.int64())], [*batch.schema.names, "place"])
-
-    return (
-        rows.drop("_h")
-        .mapInArrow(place, "doc_id long, size long, text_crc32 long, row_number_global long, place long")
-        .withColumn("shard", (F.col("place") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("place") / F.lit(shards)).cast("long") if shards & (shards - 1) else F.shiftright("place", shards.bit_length() - 1))
-    )
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 8, key: int = 0) -> None:
-    """Write the documents themselves, a directory per shard, rows in slot order."""
-    placed = assign(docs, shards, key).select("doc_id", "text_crc32", "shard", "slot")
-    (
-        docs.join(placed, "doc_id")
-        .where(F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("text_crc32"))
-        .repartition("shard", F.expr("slot div 100000"))
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    rows = rows.drop("_h").withColumn("place", _place(n, key))
+    return rows.withColumn("shard", _shard(shards)).withColumn("slot", _slot(shards))
+
+
+def _place(n: int, key: int):
+    """The place of ``row_number_global``; only that column goes to Python."""
+
+    def place(row: pd.Series) -> pd.Series:
+        return pd.Series(permute(row.to_numpy(), n, key) if len(row) else np.zeros(0, np.int64))
+
+    return F.pandas_udf(place, "long")("row_number_global")
+
+
+def _shard(shards: int):
+    return (F.col("place") % shards).cast("int")
+
+
+def _slot(shards: int):
+    return F.expr(f"place div {shards}L")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, key: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents themselves, a directory per shard.
+
+    Rows are numbered once and carried along, so that repeated rows and rows without an id
+    each keep their place, the one that ``assign`` gives. Columns are those of ``docs``, plus
+    ``slot`` and the directory's ``shard`` (with underscores appended where ``docs`` has such
+    a column); a file's rows are in the order of their slots.
+    """
+    names = {}
+    for name in ("shard", "slot"):
+        while name + names.get(name, "") in docs.columns:
+            names[name] = names.get(name, "") + "_"
+    shard, slot = ("shard" + names.get("shard", "")), ("slot" + names.get("slot", ""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows, n = numbered(docs.select(row, *_order(id_col, text_col)), ["doc_id", "_h", "text_crc32"], "shard-rows")
+    placed = rows.withColumn("place", _place(n, key)).select("row", _shard(shards).alias("shard"), _slot(shards).alias("slot"))
+    dealt = placed.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot")
+    dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)

@@ -22,6 +22,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -257,6 +258,22 @@ def word_starts(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.n
     return np.flatnonzero(start)
 
 
+def imitated(spec: dict) -> bool:
+    """Does a tokenizer file ask for just what the word cutting here does: no normaliser, the byte-level
+    pattern without a space put in front, and merges inside words without marks or chance?"""
+    words, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        spec.get("normalizer") is None
+        and words.get("type") == "ByteLevel"
+        and words.get("add_prefix_space") is False
+        and words.get("use_regex", True) is True
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or ())
+        and spec.get("truncation") is None
+    )
+
+
 class WordCachedTokenizer:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
@@ -265,7 +282,7 @@ class WordCachedTokenizer:
     and hashed for a whole batch at once; a direct-mapped table finds the ids of known
     ones, unknown ones are encoded together and remembered. Two 64-bit hashes tell words
     apart; words too long for the hashes' powers, and texts with an added token's string,
-    go to the library whole.
+    go to the library whole, and so do all texts of a file that isn't ``imitated``.
     """
 
     LIMIT = 1_200_000  # words kept; bounds a worker's memory to some 100 MB
@@ -278,6 +295,7 @@ class WordCachedTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = not imitated(json.loads(self.tokenizer.to_str()))
         self.classes = character_classes()
         with np.errstate(over="ignore"):
             self.powers = [np.multiply.accumulate(np.full(self.LONGEST + 1, c, np.uint64)) for c in _CUT]
@@ -342,6 +360,9 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and how many each text has."""
+        if self.plain:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
         whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)}
         plain = [t for k, t in enumerate(texts) if k not in whole]
         ids, n = self._encode_plain(plain)
@@ -427,7 +448,7 @@ def _spread(x: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and write all documents; the table of shard files:
-    part, seq (order within part), n_ids, blob. Rows follow ascending ids over (part, seq)."""
+    part, seq (order within part), before (ids before it in its part), n_ids, blob. Rows follow ascending ids over (part, seq)."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -437,15 +458,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
         part, seq = TaskContext.get().partitionId(), 0
         encoder = shared_tokenizer(tokenizer_path)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        size = 0
+        size = before = 0
 
         def flush():
-            nonlocal seq, held, size
+            nonlocal seq, held, size, before
             doc_ids = [d for h in held for d in h[0]]
             lengths, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             blob = pack(doc_ids, lengths, ids, rounds)
-            out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [len(ids)], "blob": pa.array([blob], pa.binary())})
-            seq, held, size = seq + 1, [], 0
+            out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "blob": pa.array([blob], pa.binary())})
+            seq, held, size, before = seq + 1, [], 0, before + len(ids)
             return out
 
         for batch in batches:
@@ -471,21 +492,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
         .sortWithinPartitions("doc_id", "_place")
         .drop("_place")
     )
-    return stored(ordered.mapInArrow(tidied(build), "part long, seq long, n_ids long, blob binary"), "token-shards")
+    return stored(ordered.mapInArrow(tidied(build), "part long, seq long, before long, n_ids long, blob binary"), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     spark = shards.sparkSession
     small_batches(spark)
-    # one row per part on the driver; the offset inside a part comes from a window over its few shards
+    # one row per part, of which there are as many as tasks, on the driver
     total, offsets = 0, []
     for r in sorted(shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         offsets.append((r["part"], total))
         total += r["n"]
     place = spark.createDataFrame(offsets or [(0, 0)], "part long, part_offset long")
-    inside = F.expr("sum(n_ids) over (partition by part order by seq rows between unbounded preceding and 1 preceding)")
-    where = shards.select("part", "seq", "n_ids").withColumn("before", F.coalesce(inside, F.lit(0))).join(F.broadcast(place), "part").select("part", "seq", (F.col("before") + F.col("part_offset")).alias("first"))
 
     def decode(batches):
         for batch in batches:
@@ -501,7 +520,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    joined = shards.select("part", "seq", "blob").join(F.broadcast(where), ["part", "seq"]) if total < 1 << 40 else shards.select("part", "seq", "blob").join(where, ["part", "seq"])
+    joined = shards.select("part", "before", "blob").join(F.broadcast(place), "part").withColumn("first", F.col("before") + F.col("part_offset"))
     return joined.select("first", "blob").mapInArrow(tidied(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
