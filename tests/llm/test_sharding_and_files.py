@@ -83,7 +83,7 @@ def test_repair_round_trip(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 60, 80)
     ids = rng.integers(0, [2, 5, 50, 3, 1000, 1][seed], lengths.sum())
-    blob = token_files.pack(list(range(80)), lengths, ids, rounds=6)
+    blob = token_files.pack(list(range(80)), lengths, ids)
     shard = token_files.Shard(blob)
     assert (shard.decode_all() == ids).all()
     starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -95,6 +95,14 @@ def test_repair_round_trip(seed):
     assert lengths_of == shard.lengths.tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_left():
+    passage = np.arange(100, 612)
+    ids = np.tile(passage, 64)
+    symbols, last, rules, base = token_files.repair(ids, np.arange(len(ids)) % len(passage) == len(passage) - 1, least=0.0)
+    assert len(symbols) == 64 and token_files.expansion_lengths(rules, base).max() == len(passage)
+    assert (token_files.expand(symbols, rules, base) == ids).all()
+
+
 def test_rules_stay_inside_documents():
     ids, lengths = np.tile([1, 2], 500), np.full(500, 2)
     shard = token_files.Shard(token_files.pack(list(range(500)), lengths, ids))

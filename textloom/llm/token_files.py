@@ -42,53 +42,86 @@ NO_ID = -(2**63)
 # --- Re-Pair -----------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, min_count: int = 16, per_round: int = 4096, bits: int = 20):
+def repair(ids: np.ndarray, ends: np.ndarray, full_rounds: int = 3, min_count: int = 16, per_round: int = 4096, bits: int = 20, least: float = 1e-3):
     """Compress ``ids``; ``ends`` marks the last id of each document.
 
-    Every round counts all neighbouring pairs in a hashed table, a pair per slot (the last one
-    seen; pairs that lose their slot get another in the next round), takes the ``per_round``
-    most frequent that occur ``min_count`` times or more, and replaces their occurrences (of
-    overlapping ones the more frequent pair wins, then the earlier). Returns symbols, their
-    end marks, rules (n x 2) and the first nonterminal's number.
+    The first ``full_rounds`` count all neighbouring pairs in a hashed table, a pair per slot (the
+    last one seen; pairs that lose their slot get another in the next round). Later rounds count
+    exactly, and only pairs with a nonterminal of the round before, as no other pair is new. A round
+    takes the ``per_round`` most frequent pairs that occur ``min_count`` times or more and
+    replaces their occurrences (of overlapping ones the more frequent pair wins, then the earlier).
+    Rounds go on until no pair is left or one replaces less than a share ``least`` of the
+    symbols. Returns symbols, their end marks, rules (n x 2) and the first nonterminal's number.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, last = ids.astype(np.int64), ends.copy()
     rules: list[np.ndarray] = []
-    n_rules = 0
-    owner = np.zeros(1 << bits, np.int64)
-    for r in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << 32 | seq[1:]
-        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * r) >> np.uint64(64 - bits)).view(np.int64)
-        slot[last[:-1]] = 0  # pairs across documents, all of them, never become rules
-        owner[slot] = key
-        owner[0] = -1
-        slot[owner[slot] != key] = 0
-        counts = np.bincount(slot, minlength=1 << bits)
-        counts[0] = 0
-        chosen = np.flatnonzero(counts >= min_count)
-        if not len(chosen):
+    n_rules, fresh, r = 0, None, 0
+    while len(seq) > 1:
+        if r < full_rounds:
+            start, rank, pairs = _frequent(seq, last, r, min_count, per_round, bits)
+        else:
+            start, rank, pairs = _frequent_new(seq, last, fresh, min_count, per_round)
+        if not len(pairs):
             break
-        chosen = chosen[np.lexsort((owner[chosen], -counts[chosen]))[:per_round]]
-        rank = np.full(1 << bits, 1 << 30, np.int32)
-        rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-        here = np.full(len(seq) + 1, 1 << 30, np.int32)  # rank of the pair that starts at i, shifted by one
-        here[1:-1] = rank[slot]
-        mid = here[1:-1]
-        take = np.flatnonzero((mid < 1 << 30) & (mid < here[:-2]) & (mid <= here[2:]))
-        used, new = np.unique(mid[take], return_inverse=True)
-        pair = owner[chosen[used]]
-        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1))
+        mine, none = rank < NO_RANK, np.array([NO_RANK])
+        before = np.where(np.diff(start, prepend=-2) == 1, np.concatenate([none, rank[:-1]]), NO_RANK)
+        after = np.where(np.diff(start, append=len(seq) + 2) == 1, np.concatenate([rank[1:], none]), NO_RANK)
+        won = np.flatnonzero(mine & (rank < before) & (rank <= after))
+        take = start[won]
+        used, new = np.unique(rank[won], return_inverse=True)
+        rules.append(pairs[used])
         seq[take] = base + n_rules + new
         last[take] = last[take + 1]
         n_rules += len(used)
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq, last = seq[keep], last[keep]
+        fresh, r = take - np.arange(len(take)), r + 1
+        if r >= full_rounds and len(take) < least * len(seq):
+            break
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base
 
 
+NO_RANK = 1 << 30
+
+
+def _frequent(seq, last, r: int, min_count: int, per_round: int, bits: int):
+    """Places of pairs, the rank of each one's pair by frequency, and the pairs in that order."""
+    owner = np.zeros(1 << bits, np.int64)
+    key = seq[:-1] << 32 | seq[1:]
+    slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * r) >> np.uint64(64 - bits)).view(np.int64)
+    slot[last[:-1]] = 0  # pairs across documents, all of them, never become rules
+    owner[slot] = key
+    owner[0] = -1
+    slot[owner[slot] != key] = 0
+    counts = np.bincount(slot, minlength=1 << bits)
+    counts[0] = 0
+    chosen = np.flatnonzero(counts >= min_count)
+    chosen = chosen[np.lexsort((owner[chosen], -counts[chosen]))[:per_round]]
+    rank = np.full(1 << bits, NO_RANK, np.int32)
+    rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+    here = rank[slot]
+    start = np.flatnonzero(here < NO_RANK)
+    pair = owner[chosen]
+    return start, here[start], np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
+
+
+def _frequent_new(seq, last, fresh, min_count: int, per_round: int):
+    """The same, of pairs that hold one of the ``fresh`` symbols."""
+    start = np.unique(np.concatenate([fresh - 1, fresh]))
+    start = start[(start >= 0) & (start < len(seq) - 1)]
+    start = start[~last[start]]
+    pair, number, counts = np.unique(seq[start] << 32 | seq[start + 1], return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(counts >= min_count)
+    chosen = chosen[np.lexsort((pair[chosen], -counts[chosen]))[:per_round]]
+    rank = np.full(len(pair), NO_RANK, np.int32)
+    rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+    here = rank[number]
+    some = here < NO_RANK
+    return start[some], here[some], np.stack([pair[chosen] >> 32, pair[chosen] & 0xFFFFFFFF], axis=1)
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     out = np.ones(len(rules), np.int64)
     length = lambda x: np.where(x < base, 1, out[np.maximum(x - base, 0)])
@@ -108,7 +141,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
     """Replace nonterminals by the ids they stand for: every rule is expanded once, then copied."""
     big = symbols >= base
     if not len(rules) or not big.any():
-        return symbols.astype(np.int64)
+        return symbols.astype(np.uint32)
     lengths = expansion_lengths(rules, base) if lengths is None else lengths.astype(np.int64)
     flat = np.arange(base, base + len(rules))
     while (open_ := flat >= base).any():  # a pass per level of the grammar, over the rules only
@@ -119,28 +152,29 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
         out[at[open_]] = rule[:, 0]
         out[at[open_] + 1] = rule[:, 1]
         flat = out
+    # one gather: an id stands for itself, behind the rules' expansions
     number = symbols[big].astype(np.int64) - base
     size = np.ones(len(symbols), np.int64)
     size[big] = lengths[number]
-    stop = np.cumsum(size)
-    out = np.empty(int(stop[-1]), np.int64)
-    out[stop[~big] - 1] = symbols[~big]
-    first = np.cumsum(lengths) - lengths
-    n = lengths[number]
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[inside + np.repeat((stop - size)[big], n)] = flat[inside + np.repeat(first[number], n)]
-    return out
+    begin = np.cumsum(size) - size
+    total = int(begin[-1] + size[-1])
+    source = np.concatenate([flat, symbols[~big].astype(np.int64)]).astype(np.uint32)
+    place = np.empty(len(symbols), np.int64)
+    place[big] = (np.cumsum(lengths) - lengths)[number]
+    place[~big] = len(flat) + np.arange(len(symbols) - len(number))
+    small = np.int32 if max(total, len(source)) < 1 << 31 else np.int64
+    return source[np.arange(total, dtype=small) + np.repeat((place - begin).astype(small), size)]
 
 
 # --- one shard file ----------------------------------------------------------------------
 
 
-def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, rounds: int = 3) -> bytes:
+def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a shard: ``lengths`` counts each document's ids, its end id included."""
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
     ends = np.zeros(len(ids), bool)
     ends[starts[1:] - 1] = True
-    symbols, last, rules, base = repair(ids, ends, rounds)
+    symbols, last, rules, base = repair(ids, ends)
     at = np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<i8")
     body = b"".join(
         (
@@ -446,7 +480,7 @@ def _spread(x: np.ndarray, length: np.ndarray) -> np.ndarray:
 # --- the corpus --------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and write all documents; the table of shard files:
     part, seq (order within part), before (ids before it in its part), n_ids, blob. Rows follow ascending ids over (part, seq)."""
     spark = docs.sparkSession
@@ -464,7 +498,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
             nonlocal seq, held, size, before
             doc_ids = [d for h in held for d in h[0]]
             lengths, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            blob = pack(doc_ids, lengths, ids, rounds)
+            blob = pack(doc_ids, lengths, ids)
             out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "blob": pa.array([blob], pa.binary())})
             seq, held, size, before = seq + 1, [], 0, before + len(ids)
             return out
