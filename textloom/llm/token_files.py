@@ -321,6 +321,7 @@ class WordCachedTokenizer:
 
     LIMIT = 1_200_000  # words kept; bounds a worker's memory to some 100 MB
     LONGEST = 128
+    STRETCH = 1 << 17
     BITS = 22
 
     def __init__(self, path: str):
@@ -331,8 +332,9 @@ class WordCachedTokenizer:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = not imitated(json.loads(self.tokenizer.to_str()))
         self.classes = character_classes()
+        series = lambda c: np.multiply.accumulate(np.full(self.STRETCH + self.LONGEST, c, np.uint64))
         with np.errstate(over="ignore"):
-            self.powers = [np.multiply.accumulate(np.full(self.LONGEST + 1, c, np.uint64)) for c in _CUT]
+            self.powers = [(series(c), series(pow(c, -1, 1 << 64))) for c in _CUT]  # and of their inverses
         self.forget()
 
     def forget(self) -> None:
@@ -397,7 +399,9 @@ class WordCachedTokenizer:
         if self.plain:
             found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
-        whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        joined = "".join(texts)
+        some = any(a in joined for a in self.added)  # a match across two texts only costs a second look
+        whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)} if some else {}
         plain = [t for k, t in enumerate(texts) if k not in whole]
         ids, n = self._encode_plain(plain)
         if not whole:
@@ -414,6 +418,21 @@ class WordCachedTokenizer:
             counts.append(len(part))
         return np.concatenate(parts), np.array(counts, np.int64)
 
+    def _sums(self, wide: np.ndarray, begin: np.ndarray, powers: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """Polynomial of each word's characters: a difference of running sums, moved back to its first
+        place; a stretch of characters at a time. Words that are too long get no use of theirs."""
+        out, k = np.empty(len(begin), np.uint64), 0
+        while k < len(begin):
+            e = int(np.searchsorted(begin, begin[k] + self.STRETCH))
+            stop = min(begin[e] if e < len(begin) else len(wide), begin[k] + self.STRETCH + self.LONGEST)
+            part, at = wide[begin[k] : stop], begin[k:e] - begin[k]
+            upto = np.cumsum(part * powers[: len(part)])
+            ends = np.append(upto[at[1:] - 1], upto[-1])
+            ends[1:] -= ends[:-1].copy()
+            out[k:e] = ends * inverse[at]
+            k = e
+        return out
+
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         size = np.array([len(t) for t in texts], np.int64)
@@ -425,13 +444,10 @@ class WordCachedTokenizer:
         first = (np.cumsum(size) - size)[size > 0]
         begin = word_starts(points, self.classes[points], first)
         length = np.diff(np.append(begin, len(points)))
-        place = np.arange(len(points)) - np.repeat(begin, length)
         long = length > self.LONGEST
-        if long.any():
-            np.minimum(place, self.LONGEST, out=place)
         with np.errstate(over="ignore"):
             wide = points.astype(np.uint64) + np.uint64(1)
-            one, two = (_spread(np.add.reduceat(wide * p[place], begin), length) for p in self.powers)
+            one, two = (_spread(self._sums(wide, begin, *p), length) for p in self.powers)
         number = self._numbers(one, two)
         number[long] = -1
         missing = np.flatnonzero((number < 0) & ~long)
