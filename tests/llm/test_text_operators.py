@@ -48,6 +48,106 @@ def test_main_text_keeps_the_whole_article():
     assert html_main.main_text(page) == f"{long.strip()}\n{(rest * 4).strip()}"
 
 
+LONG_TEXT = "One sentence of the article, and another. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="elementor-widget-container"><p>{}</p></div></body>',
+        '<body><form id="aspnetForm"><nav>menu</nav><div><p>{}</p></div><div class="newsletter">Sign up, please.</div></form></body>',
+        '<body><div id="content"><p>Before it, a line.</p><div class="post-related-study"><p>{}</p></div></div></body>',
+        '<body><div class="content sidebar-left"><p>{}</p></div><div class="comments"><p>I liked it, really.</p></div></body>',
+        '<html><head><title>t</title><body><p>{}</p></body></html>',
+        '<body><article><p>{}</p></article><div class="comment-list"><p>' + "A reader says a lot, at length. " * 200 + "</p></div></body>",
+        '<body><div><p>{}</p></div><div class="cookie-notice">We use cookies, and we tell you about it, at some length, as the law wants it.</div><div class="related-posts"><a href="x">One more, here</a> <a href="y">another, there</a></div></body>',
+    ],
+)
+def test_words_of_class_are_a_suspicion(page):
+    got = html_main.main_text(page.format(LONG_TEXT))
+    assert got.split("\n")[-1] == LONG_TEXT.strip() and "menu" not in got and "cookies" not in got and "reader" not in got and "Sign up" not in got and "liked" not in got and "another, there" not in got
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>x, y ", "<b>x<br>", "<font><h1>x", "<li><ul>x"])
+def test_depth_costs_no_square(unit):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_main.main_text(unit * n + "</section></b>" * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 10  # a square of the depth took minutes
+
+
+def test_page_rows_are_kept(spark):
+    rows = [(1, "u", PAGES["article"][0], "clash"), (1, "u", PAGES["article"][0], "clash"), (None, None, None, "x"), (2, "u", "", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_main.extract(d).collect())
+    text = PAGES["article"][1]
+    assert got == sorted([("1", "u", text, len(text))] * 2 + [("None", "None", "", 0), ("2", "u", "", 0)])
+
+
+def brute_main_text(page, spread=0.3):
+    """The same choice by plain loops over blocks and their chains of elements."""
+    blocks, elements = html_main.blocks_of(page)
+    html_main.find_boilerplate(blocks, elements)
+    kept = [b for b in blocks if not b[0].dropped]
+    if not kept:
+        return ""
+
+    def chain(e):
+        return [e, *chain(e.parent)] if e is not None else []
+
+    n = len(kept)
+    path = [tuple(x.path for x in chain(e)) for e, _, _ in kept]
+    plain = [len(t) - l for _, t, l in kept]
+    marks = [sum(c in html_main.MARKS for c in t) * p / len(t) for (_, t, _), p in zip(kept, plain)]
+    mean = lambda values, k: sum(v for v, q in zip(values, path) if q == path[k]) / path.count(path[k])
+    weight = [np.exp(-0.5 * d * d) for d in range(-2, 3)]
+
+    def smooth(values):
+        return [sum(w * values[min(n - 1, max(0, k + d))] for w, d in zip(weight, range(-2, 3))) / sum(weight) for k in range(n)]
+
+    fused = [a * (1 + b) for a, b in zip(smooth([mean(plain, k) for k in range(n)]), smooth([mean(marks, k) for k in range(n)]))]
+    score = [mean(fused, k) for k in range(n)]
+    least = min(spread * np.std(score), max(score))
+    content = [s >= least - 1e-9 for s in score] if n > 1 else [True]
+    few_links = [2 * l <= len(t) for _, t, l in kept]
+    if any(a and b for a, b in zip(content, few_links)):
+        content = [a and b for a, b in zip(content, few_links)]
+    if not any(content):
+        content = [True] * n
+    size = [max(1, p) if c else 0 for p, c in zip(plain, content)]
+    declared = [any(x.main for x in chain(e)) for e, _, _ in kept]
+    if any(declared) and sum(s for s, d in zip(size, declared) if d) >= 0.5 * sum(size):
+        return "\n".join(t for (_, t, _), d in zip(kept, declared) if d)
+    common = [x for x in chain(kept[content.index(True)][0]) if all(x in chain(e) for (e, _, _), c in zip(kept, content) if c)]
+    chosen = next(x for x in common if x.parent is None or (x.tag in html_main.BLOCK_TAGS and x.tag != "p"))
+    return "\n".join(t for e, t, _ in kept if chosen in chain(e))
+
+
+def test_main_text_equals_brute_force():
+    rng = np.random.default_rng(3)
+    tags = ["div", "p", "section", "ul", "li", "span", "a", "h2", "article", "td", "form"]
+    names = ["", "", "", ' class="body"', ' class="related-post"', ' class="comments"', ' id="x1"', ' class="widget main-text"']
+    found = 0
+    for _ in range(300):
+        page, open_ = "<body>", []
+        for _ in range(rng.integers(5, 40)):
+            if open_ and rng.random() < 0.45:
+                page += f"</{open_.pop(int(rng.integers(len(open_))) if rng.random() < 0.1 else -1)}>"
+            else:
+                open_.append(tags[rng.choice(len(tags), p=[0.3, 0.3, 0.06, 0.05, 0.05, 0.06, 0.06, 0.04, 0.02, 0.03, 0.03])])
+                page += f"<{open_[-1]}{names[rng.integers(len(names))]}>"
+            if rng.random() < 0.7:
+                page += " ".join(["word", "and,", "more.", "x"][k] for k in rng.integers(0, 4, rng.integers(1, 30)))
+        assert html_main.main_text(page) == brute_main_text(page), page
+        found += bool(html_main.main_text(page))
+    assert found > 250
+
+
 def test_odd_pages_end():
     html_main.main_text('<a a="1" b="2" c="3"' * 300)
     assert html_main.main_text("<div>" * 2000 + "deep").endswith("deep")
