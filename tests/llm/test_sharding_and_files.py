@@ -65,6 +65,40 @@ def test_assign_empty(spark):
 # --- Re-Pair ------------------------------------------------------------------------------
 
 
+def test_places_equal_brute_force(spark):
+    """The network and the cycle walk in plain integers, a row at a time."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ x >> shift) * factor) & full
+        return x ^ x >> 31
+
+    def place(row, n, key):
+        a = 1
+        while a * a < n:
+            a += 1
+        b = -(-n // a)
+        keys = [mix((r * 0x9E3779B97F4A7C15 + key) & full) for r in range(1, sharding.ROUNDS + 1)]
+        while True:
+            left, right = divmod(row, b)
+            for r, k in enumerate(keys):
+                if r % 2 == 0:
+                    left = (left + mix((right + k) & full) % a) % a
+                else:
+                    right = (right + mix((left + k) & full) % b) % b
+            row = left * b + right
+            if row < n:
+                return row
+
+    rng = np.random.default_rng(3)
+    data = [(int(i), f"text {i}", 0) for i in rng.choice(10**6, 207, replace=False)]
+    got = {r.doc_id: (r.row_number_global, r.shard, r.slot) for r in sharding.assign(docs(spark, data), shards=8, key=11).collect()}
+    want = {i: place(k, len(data), 11) for k, (i, *_) in enumerate(sorted(data))}
+    assert got == {i: (k, want[i] % 8, want[i] // 8) for k, (i, *_) in enumerate(sorted(data))}
+    assert sorted(want.values()) == list(range(len(data)))
+
+
 def test_written_shards_hold_every_row_once(spark, tmp_path):
     data = [(1, "same"), (1, "same"), (1, "same"), (None, "no id"), (None, None), (3, "c"), (2, "")]
     table = spark.createDataFrame([(*r, "s", k) for k, r in enumerate(data)], "doc_id long, text string, shard string, n int")

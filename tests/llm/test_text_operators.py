@@ -369,12 +369,84 @@ def test_toxicity_on_held_out_documents(spark):
     assert [len(w) - len(chain.chosen) - 1 for w in chain.weights] == [0, 1, 2]
 
 
+def test_chain_equals_brute_force():
+    """Out-of-fold inputs row by row: each earlier probability comes from a model that never saw the row."""
+    rng = np.random.default_rng(7)
+    n, d = 90, 6
+    x = (rng.random((n, d)) < 0.4).astype(np.float64)
+    y = np.stack([(x @ rng.normal(size=d) + rng.normal(size=n) * 0.5 > 0.3) for _ in range(3)], axis=1).astype(float)
+    fold = rng.integers(0, 5, n)
+    chain = toxicity.Chain.fit(np.arange(d), x, y, fold)
+    rows = [list(r) for r in x]
+    for k in range(3):
+        model = toxicity.fit_logistic(np.array(rows), y[:, k])
+        assert np.allclose(model, chain.weights[k]) and len(model) == d + k + 1
+        # the model is where the penalised loss is flat
+        p = np.array([1 / (1 + np.exp(-sum(a * b for a, b in zip(r, model)) - model[-1])) for r in rows])
+        flat = np.array(rows).T @ (p - y[:, k]) + 0.1 * model[:-1]
+        assert np.abs(flat).max() < 1e-2 and abs((p - y[:, k]).sum()) < 1e-2
+        unseen = []
+        for i in range(n):
+            others = [j for j in range(n) if fold[j] != fold[i]]
+            w = toxicity.fit_logistic(np.array([rows[j] for j in others]), y[others, k])
+            unseen.append(1 / (1 + np.exp(-sum(a * b for a, b in zip(rows[i], w)) - w[-1])))
+        for r, u in zip(rows, unseen):
+            r.append(u)
+    last = np.array([r[-1] for r in rows])
+    best = max(2 * y[last >= t, 2].sum() / max(1, (last >= t).sum() + y[:, 2].sum()) for t in np.linspace(0.2, 0.8, 61))
+    got = last >= chain.threshold
+    assert np.isclose(2 * y[got, 2].sum() / (got.sum() + y[:, 2].sum()), best)
+    scored = chain.predict(x)
+    for i in range(n):
+        earlier = []
+        for k in range(3):
+            w = chain.weights[k]
+            earlier.append(1 / (1 + np.exp(-sum(a * b for a, b in zip([*x[i], *earlier], w)) - w[-1])))
+        assert np.allclose(earlier, scored[i])
+
+
+def test_toxicity_on_repeated_and_long_rows(spark):
+    rng = np.random.default_rng(5)
+    say = lambda bad: " ".join(f"w{k}" for k in rng.integers(0, 200, 40)) + (" grmpf zounds" if bad else "")
+    data = [(i, say(i % 4 == 0)) for i in range(200)]
+    long = "w1 " * 400_000
+    extra = [(3, data[3][1]), (0, data[0][1]), (900, long), (901, long + "grmpf zounds"), (902, "   "), (902, "   ")]
+    docs = spark.createDataFrame(data + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(0, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [(r.doc_id, r.rejected) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
+    assert len(got) == len(data) + len(extra)
+    assert {g for g in got if g[0] < 200} == {(i, i % 4 == 0) for i in range(200)}
+    assert sorted(g for g in got if g[0] >= 900) == [(900, False), (901, True), (902, False), (902, False)]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert not toxicity.score(docs, chain).first().rejected and toxicity.score(docs.limit(0), chain).count() == 0
 
 
+# --- addresses ---------------------------------------------------------------------------
+
+
+def test_odd_addresses(spark):
+    long = "http://a.org/" + "x-" * 500_000
+    rows = [(1, "http://exämple.org/ПУТЬ/porn"), (2, "http://a.org/%70orn"), (3, "HTTP://A.ORG/PORN"), (4, long), (5, long + "casino"), (6, "http://a.org/porn%2Fx"), (7, "http://é.porn.org"), (7, "http://é.porn.org"), (8, "://"), (None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = sorted(((str(r.page_id), r.host, r.verdict) for r in url_filter.judge(d).collect()))
+    assert got == sorted([("1", "exämple.org", "block"), ("2", "a.org", "allow"), ("3", "a.org", "block"), ("4", "a.org", "allow"), ("5", "a.org", "block"), ("6", "a.org", "block"), ("7", "é.porn.org", "block"), ("7", "é.porn.org", "block"), ("8", "", "allow"), ("None", "", "allow")])
+    assert url_filter.judge(d.limit(0)).count() == 0
+
+
+def test_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("Foo", 2), ("bar", 1), ("baz", 1), ("bar", 1), (None, 2), ("", 2), ("foo", 1)], "term string, weight int")
+    words = url_filter.vocabulary(table)
+    assert words == {"strict": ("foo",), "soft": ("bar", "baz")}
+    d = spark.createDataFrame([(1, "x://foo"), (2, "x://bar"), (3, "x://bar/baz"), (4, "x://porn")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(d, **words).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(table, most=2)
+
+
 # --- personal data ------------------------------------------------------------------------
 
 

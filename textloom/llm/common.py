@@ -27,11 +27,14 @@ def ascii_lower(col):
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own
-    under /tmp used; it is recorded in the session so that later calls agree.
+    Only where that setting is absent in local mode (tests, a laptop) is a folder of our own
+    under /tmp used; it is recorded in the session so that later calls agree. On a cluster no
+    local folder would do, so there the setting is needed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("textloom.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file:///tmp/textloom-scratch-{uuid.uuid4().hex[:8]}"
         spark.conf.set("textloom.scratch.dir", root)
     return root.rstrip("/")

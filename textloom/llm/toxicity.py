@@ -6,8 +6,8 @@ out-of-fold predictions, so a later model learns from what an earlier one says o
 texts it hasn't seen.
 
 The categories, in order, come from the labels table: ``low_quality`` (quality 0),
-``toxic`` (toxic 1) and ``abusive`` (toxic 1 in text of quality 1). A document is rejected
-if its probability of ``toxic`` reaches a threshold, which is chosen on the out-of-fold
+``abusive`` (toxic 1 in text of quality 1) and ``toxic`` (toxic 1), which sees the
+probabilities of both. A document is rejected if its probability of ``toxic`` reaches a threshold, which is chosen on the out-of-fold
 predictions where none is given.
 
 Inputs are the presence of words and of words' first four and five letters (which
@@ -41,7 +41,7 @@ SAMPLE = 12_000
 INPUTS = 256
 LEAST_Z, LEAST_DOCS = 4.0, 5
 FOLDS = 5
-CATEGORIES = ("low_quality", "toxic", "abusive")
+CATEGORIES = ("low_quality", "abusive", "toxic")
 
 WORDS = re.compile(r"[^\W\d_]+")
 

@@ -3,7 +3,8 @@
 Host is what follows the first ``://`` up to ``/ ? #`` (A-Z lower-cased), path is what
 follows up to ``? #``. A rule (host, path, verdict) fits its host and all subdomains if
 the url's path starts with the rule's path; the longest fitting rule decides. Without
-one, the whole url is searched once for all terms; a hit counts only with a boundary
+one, the whole url, as it is written (percent escapes aren't decoded), is searched once for all
+terms; a hit counts only with a boundary
 (no ASCII letter or digit) on both sides. One strict term, or ``soft_needed`` distinct
 soft terms, block.
 
@@ -35,6 +36,17 @@ RULES = (
 )
 
 
+def vocabulary(table: DataFrame, most: int = 100_000) -> dict[str, tuple[str, ...]]:
+    """The terms of a table (term, weight): weight 2 or more is strict, 1 soft. Terms are lower-cased in
+    A-Z, null and empty ones are left out, and one given twice has its greater weight. A table of
+    more than ``most`` terms is refused, as every worker holds them all."""
+    terms = table.select(ascii_lower(F.col("term")).alias("term"), "weight").where("term <> '' AND weight >= 1")
+    found = terms.groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms")
+    return {"strict": tuple(r["term"] for r in found if r["weight"] >= 2), "soft": tuple(r["term"] for r in found if r["weight"] == 1)}
+
+
 def automaton(strict=STRICT, soft=SOFT):
     out = ahocorasick.Automaton()
     for weight, terms in ((1, soft), (2, strict)):
