@@ -811,7 +811,10 @@ def _drained(spark, stream, mode):
     """Run a stream over what there is now; its result as a table in the shared folder."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textloom-streams"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or "/tmp/textloom-streams"
     path = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
     if mode == "complete":
 
