@@ -121,3 +121,8 @@ def first_case(pairs, otherwise) -> Column:
 def format_count(n) -> Column:
     """Thousands separators."""
     return F.format_number(n.cast("long"), 0)
+
+
+def let(value, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -67,26 +67,26 @@ def classify_task(text, selection_length=None):
     """Struct tier, routing, reasons, economy_score, premium_score."""
     said = F.lower(F.coalesce(text, F.lit("")))
     size = F.coalesce(selection_length, F.lit(0)) if selection_length is not None else F.lit(0)
-    hits = {name: F.array_compact(F.array(*[F.when(T.test(said, p), F.lit(f"{name}: {label}")) for p, label in rules])) for rules, name in SIGNALS}
+    found = {name: F.array_compact(F.array(*[F.when(T.test(said, p), F.lit(f"{name}: {label}")) for p, label in rules])) for rules, name in SIGNALS}
+    cheap, reasoning, local, bulk = found
     large = size > LARGE_SELECTION
-    economy, premium = F.size(hits["cheap/mechanical"]), F.size(hits["needs reasoning"]) + large.cast("int")
     note = F.when(large, F.array(F.concat(F.lit("large selection ("), size.cast("string"), F.lit(" chars) to reason over")))).otherwise(F.array().cast("array<string>"))
-    reasons = F.concat(*[hits[name] for _, name in SIGNALS], note)
-    tier = F.when((premium > 0) & (premium >= economy), "premium").when(economy > premium, "economy").otherwise("standard")
-    routing = (
-        F.when(F.size(hits["local transform"]) > 0, "local-transform")
-        .when(F.size(hits["bulk/offline"]) > 0, "batch-offline")
-        .when(tier == "economy", "completion-or-base")
-        .when(tier == "premium", "premium")
-        .otherwise("auto")
-    )
-    return F.struct(
-        tier.alias("tier"),
-        routing.alias("routing"),
-        F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(NO_SIGNAL))).alias("reasons"),
-        economy.cast("int").alias("economy_score"),
-        premium.cast("int").alias("premium_score"),
-    )
+
+    def judge(hits):
+        economy, premium = F.size(hits[cheap]), F.size(hits[reasoning]) + large.cast("int")
+        reasons = F.concat(*[hits[name] for name in found], note)
+        tier = F.when((premium > 0) & (premium >= economy), "premium").when(economy > premium, "economy").otherwise("standard")
+        routing = F.when(F.size(hits[local]) > 0, "local-transform").when(F.size(hits[bulk]) > 0, "batch-offline")
+        routing = routing.when(tier == "economy", "completion-or-base").when(tier == "premium", "premium").otherwise("auto")
+        return F.struct(
+            tier.alias("tier"),
+            routing.alias("routing"),
+            F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(NO_SIGNAL))).alias("reasons"),
+            economy.cast("int").alias("economy_score"),
+            premium.cast("int").alias("premium_score"),
+        )
+
+    return T.let(F.struct(*[hits.alias(name) for name, hits in found.items()]), judge)  # every signal is tested once
 
 
 def concise_level(level):

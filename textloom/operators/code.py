@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,40 +96,46 @@ def is_function_opener(stripped: str) -> bool:
     return bool(_OPENS.search(stripped)) and not _CONTROL.search(stripped) and not _CONTAINER.search(stripped) and any(p.search(stripped) for p in _CALLABLE)
 
 
+def _brace_bodies(lines: list[str]) -> list[tuple[int, int]]:
+    """(opener, first line after the body) of the outermost function bodies, by running brace depth.
+
+    A body ends with the first later line that brings the depth back to what it was before its opener.
+    """
+    delta = np.array([brace_delta(x) if "{" in x or "}" in x else 0 for x in lines], np.int64)
+    after = np.cumsum(delta)
+    before = (after - delta).tolist()
+    after, bodies, free = after.tolist(), [], 0
+    for k in [k for k, x in enumerate(lines) if "{" in x]:
+        if k >= free and is_function_opener(lines[k].strip(_JS_SPACE)):
+            free = next((j for j in range(k + 1, len(lines)) if after[j] <= before[k]), len(lines) - 1) + 1
+            bodies.append((k, free))
+    return bodies
+
+
+def _indented_bodies(lines: list[str]) -> list[tuple[int, int]]:
+    """(last line of a def's signature, first line after its body), by indentation."""
+    bare = [x.lstrip(_JS_SPACE) for x in lines]
+    indent = [len(x) - len(y) for x, y in zip(lines, bare)]
+    bodies, free = [], 0
+    for k in [k for k, x in enumerate(bare) if _DEF.search(x)]:
+        if k >= free:
+            head = next((j for j in range(k, len(lines)) if _COLON.search(lines[j])), None)
+            if head is None:
+                break  # a signature without an end takes all that follows
+            free = next((j for j in range(head + 1, len(lines)) if bare[j] and indent[j] <= indent[k]), len(lines))
+            bodies.append((head, free))
+    return bodies
+
+
 def outline_text(text: str, ext: str) -> str:
-    """C4: signatures and structure; function bodies become a placeholder."""
-    out: list[str] = []
-    if ext in PY_OUTLINE:
-        hidden = pending = None  # indents of the def whose body goes, and of one whose signature goes on
-        for line in text.split("\n"):
-            bare = line.strip(_JS_SPACE)
-            indent = len(line) - len(line.lstrip(_JS_SPACE))
-            if hidden is not None:
-                if not bare or indent > hidden:
-                    continue
-                hidden = None
-            starts = pending is None and bool(_DEF.search(bare))
-            if starts or pending is not None:
-                own = indent if starts else pending
-                ends = bool(_COLON.search(line))
-                out.append(_COLON.sub(": ...", line, count=1) if ends else line)
-                hidden, pending = (own, None) if ends else (None, own)
-            else:
-                out.append(line)
-    else:
-        depth, floor = 0, None
-        for line in text.split("\n"):
-            if floor is None and is_function_opener(line.strip(_JS_SPACE)):
-                out.append(_OPENS.sub(lambda _: BODY, line, count=1))
-                floor = depth
-                depth += brace_delta(line)
-                continue
-            if floor is None:
-                out.append(line)
-            depth += brace_delta(line)
-            if floor is not None and depth <= floor:
-                floor = None
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip(_JS_SPACE)
+    """C4: signatures and structure; function bodies, found as intervals of lines, become a placeholder."""
+    lines = text.split("\n")
+    bodies, end, mark = (_indented_bodies(lines), _COLON, ": ...") if ext in PY_OUTLINE else (_brace_bodies(lines), _OPENS, BODY)
+    kept, at = [], 0
+    for head, free in bodies:
+        kept += [*lines[at:head], end.sub(lambda _: mark, lines[head], count=1)]
+        at = free
+    return re.sub(r"\n{3,}", "\n\n", "\n".join([*kept, *lines[at:]])).strip(_JS_SPACE)
 
 
 def _outline(texts: pd.Series, exts: pd.Series) -> pd.Series:

@@ -42,6 +42,11 @@ def file_risk(path):
     return T.first_case([(T.test(path, p, "i"), r) for _, r, p in FILE_TYPES], "medium")
 
 
+def risk_of(kind):
+    """The risk of a file type."""
+    return T.first_case([(kind == t, r) for t, r, _ in FILE_TYPES], "medium")
+
+
 def risk_rank(risk):
     return T.first_case([(risk == r, n) for r, n in RANK.items()], 0)
 
@@ -126,16 +131,27 @@ def with_summary(df: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
     the compact and expanded summary texts. Nothing leaves the row."""
     p = prefix
     df = df.withColumn("_parts", _files(F.col(text_col)))
-    df = df.withColumn("_paths", F.filter(F.array_distinct(F.transform("_parts", lambda x: x["path"])), lambda x: x.isNotNull()))
     total = lambda a, f: F.aggregate(a, F.lit(0), lambda n, x: n + x[f])
+    # parts in the order of their paths, so that a path's parts stand together and each is looked at once
+    named = F.filter(F.transform("_parts", lambda x, i: F.struct(x["path"].alias("path"), i.alias("i"), (x["additions"] + x["deletions"]).alias("churn"))), lambda x: x["path"].isNotNull())
+
+    def records(ordered):
+        at = lambda i: F.get(ordered, i)
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def record(starts):
+            def one(start, k):
+                own = F.slice(ordered, start + 1, F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start)
+                return F.struct((-total(own, "churn")).alias("c"), at(start)["i"].alias("i"), at(start)["path"].alias("path"), file_type(at(start)["path"]).alias("type"))
+
+            return F.transform(starts, one)
 
-    def record(path, i):
-        own = F.filter("_parts", lambda x: x["path"] == path)
-        churn = total(own, "additions") + total(own, "deletions")
-        return F.struct((-risk_rank(file_risk(path))).alias("r"), (-churn).alias("c"), i.alias("i"), path.alias("path"), file_type(path).alias("type"))
+        return T.let(F.filter(places, lambda i: (i == 0) | (at(i)["path"] != at(i - 1)["path"])), record)
 
-    df = df.withColumn("_files", F.transform("_paths", record))
-    types = F.array_distinct(F.transform("_files", lambda x: x["type"]))
+    df = df.withColumn("_records", T.let(F.array_sort(named), records))
+    df = df.withColumn("_files", F.transform("_records", lambda x: F.struct((-risk_rank(risk_of(x["type"]))).alias("r"), x["c"].alias("c"), x["i"].alias("i"), x["path"].alias("path"), x["type"].alias("type"))))
+    by_place = F.array_sort(F.transform("_records", lambda x: F.struct(x["i"].alias("i"), x["type"].alias("type"))))
+    types = F.array_distinct(F.transform(by_place, lambda x: x["type"]))
 
     def kind(t, i):
         own = F.filter("_files", lambda x: x["type"] == t)
@@ -143,7 +159,7 @@ def with_summary(df: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
 
     risk_name = lambda r: T.first_case([(r == n, name) for name, n in RANK.items()], "low")
     df = df.withColumn("_types", F.array_sort(F.transform(types, kind)))
-    df = df.withColumn(f"{p}files", F.greatest(F.size("_paths"), F.lit(1))).withColumn(f"{p}hunks", F.greatest(total(F.col("_parts"), "hunks"), F.lit(1)))
+    df = df.withColumn(f"{p}files", F.greatest(F.size("_files"), F.lit(1))).withColumn(f"{p}hunks", F.greatest(total(F.col("_parts"), "hunks"), F.lit(1)))
     df = df.withColumn(f"{p}additions", total(F.col("_parts"), "additions")).withColumn(f"{p}deletions", total(F.col("_parts"), "deletions"))
     df = df.withColumn(f"{p}risk", risk_name(F.coalesce(-F.array_min(F.transform("_files", lambda x: x["r"])), F.lit(1))))
     df = df.withColumn(f"{p}by_type", F.array_join(F.transform(F.slice("_types", 1, 2), lambda x: F.concat(x["type"], F.lit("="), risk_name(-x["r"]))), ", "))
@@ -165,4 +181,4 @@ def with_summary(df: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
         F.concat(F.lit("- Hotspots: "), F.when(F.size(c("hotspots")) > 0, F.array_join(c("hotspots"), ", ")).otherwise(F.lit("none"))),
     )
     df = df.withColumn(f"{p}summary", T.truncate_preview(compact, SUMMARY_CHARS)).withColumn(f"{p}expanded", expanded)
-    return df.drop("_parts", "_paths", "_files", "_types")
+    return df.drop("_parts", "_records", "_files", "_types")

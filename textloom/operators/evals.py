@@ -37,10 +37,10 @@ def reductions(outputs: DataFrame, arms: list[str], arm: str, versus: str) -> Da
 
 
 def arm_matrix(outputs: DataFrame, prompts: DataFrame, arms: DataFrame) -> DataFrame:
-    """Every arm with its outputs in prompt order, empty where missing."""
+    """(arm, prompt_idx, output) of every arm and prompt, empty where missing. Rows, as an arm's
+    outputs together are as many as the prompts; ``arms`` is a list of a few."""
     jobs = prompts.select("prompt_idx").crossJoin(F.broadcast(arms.select("arm")))  # the job list is the product
-    full = jobs.join(outputs, ["arm", "prompt_idx"], "left").withColumn("output", F.coalesce("output", F.lit("")))
-    return full.groupBy("arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("prompt_idx", "output"))), lambda x: x["output"]).alias("outputs"))
+    return jobs.join(outputs, ["arm", "prompt_idx"], "left").select("arm", "prompt_idx", F.coalesce("output", F.lit("")).alias("output"))
 
 
 def calibration(samples: DataFrame) -> DataFrame:

@@ -401,8 +401,8 @@ def with_warnings(df: DataFrame, prompt_col: str, cache_col: str = "cache", file
 def fnv1a(text):
     """FNV-1a, 32 bits, over UTF-16 units, as eight hexadecimal digits."""
     wide = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(1), (F.length(wide) / 4).cast("int")), lambda i: F.conv(F.substr(wide, i * 4 - 3, F.lit(4)), 16, 10).cast("long"))
-    units = F.when(F.length(wide) > 0, units).otherwise(F.array().cast("array<bigint>"))
+    # cut by a pattern, not by places: a place in a string is found by walking there
+    units = F.transform(F.regexp_extract_all(wide, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 

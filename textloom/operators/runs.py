@@ -197,19 +197,22 @@ def cacheability_lines(cache):
 
 def runs_from_conversations(turns: DataFrame) -> DataFrame:
     """Run events out of conversation turns (conv_id, turn, role, text): user turns are prompt
-    runs, other turns selection runs; what follows "after" is the trimmed text."""
+    runs, other turns selection runs. ``after_tokens`` are those of the whole text with its white
+    space squeezed, and a prompt's fingerprint is that of the whole squeezed text in lower case:
+    a plain stand-in for ``prompt.with_skeleton``, which SQL can say too."""
     from textloom.operators import prompt
 
     text = F.coalesce("text", F.lit(""))
+    squeezed = T.trim(T.squeeze(text))
     seq = F.col("conv_id") * 1000 + F.col("turn")
     df = turns.select(
         seq.alias("seq"),
         F.when(F.col("role") == "user", "chatOptimize").when(F.col("role") == "assistant", "chatCompress").otherwise("reviewDiff").alias("command_key"),
         F.when(F.col("role") == "user", "prompt").otherwise("selection").alias("grp"),
         text.alias("_text"),
-        F.when(F.col("role") == "user", F.concat(F.lit("psk_"), prompt.fnv1a(F.lower(F.substring(T.trim(T.squeeze(text)), 1, 24))))).alias("skeleton_id"),
+        F.when(F.col("role") == "user", F.concat(F.lit("psk_"), prompt.fnv1a(F.lower(squeezed)))).alias("skeleton_id"),
         T.estimate_tokens(text).alias("before_tokens"),
-        T.estimate_tokens(T.trim(T.squeeze(F.substring(text, 1, 400)))).alias("after_tokens"),
+        T.estimate_tokens(squeezed).alias("after_tokens"),
         F.when(F.col("role") == "user", "prompt-only").otherwise("selected-text").alias("context_type"),
     )
     df = prompt.with_cache(df, "_text")

@@ -369,6 +369,8 @@ def fenced_pages(spark, sf_dir):
 # --- run analytics ------------------------------------------------------------------------
 
 _RUNS = S.runs()
+#: Documents, of which many are copies, as user turns: prompts that recur.
+_PROMPT_RUNS = S.runs("(SELECT doc_id // 10 AS conv_id, doc_id % 10 AS turn, 'user' AS role, text FROM documents)")
 _SAYS = lambda what: f"len(list_filter(warnings, lambda w: contains(lower(w), {sql_string(what.lower())})))"
 _SK = "SELECT skeleton_id, count(*) AS n FROM runs WHERE grp = 'prompt' GROUP BY skeleton_id"
 _PART = lambda g, c: f"coalesce(sum({c}) FILTER (grp = '{g}'), 0)::bigint"
@@ -384,6 +386,11 @@ def _run_events(spark, sf_dir):
     return runs.runs_from_conversations(table(spark, sf_dir, "conversations"))
 
 
+def _prompt_events(spark, sf_dir):
+    turns = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("conv_id"), (F.col("doc_id") % 10).alias("turn"), F.lit("user").alias("role"), "text")
+    return runs.runs_from_conversations(turns)
+
+
 @query(f"WITH {_RUNS}, k AS ({_SK}) SELECT {_COUNTERS}, (SELECT coalesce(sum(n - 1), 0)::bigint FROM k) AS repeated_prompt_skeletons, (SELECT count(*) FROM k) AS unique_prompt_skeletons FROM runs")
 def run_stats(spark, sf_dir):
     """A4."""
@@ -422,16 +429,16 @@ def stats_report_metrics(spark, sf_dir):
     return runs.stats_metrics(runs.run_stats(e).crossJoin(F.broadcast(reviews)), F.col("reviews"))  # one row by one row
 
 
-@query(f"WITH {_RUNS} {_SK} HAVING count(*) > 1 ORDER BY n DESC, skeleton_id LIMIT {runs.TOP_SKELETONS}")
+@query(f"WITH {_PROMPT_RUNS} {_SK} HAVING count(*) > 1 ORDER BY n DESC, skeleton_id LIMIT {runs.TOP_SKELETONS}")
 def recurring_skeletons(spark, sf_dir):
     """A top-5 report."""
-    return runs.recurring(_run_events(spark, sf_dir))
+    return runs.recurring(_prompt_events(spark, sf_dir))
 
 
-@query(f"WITH {_RUNS} SELECT seq, skeleton_id, running FROM (SELECT seq, skeleton_id, count(*) OVER (PARTITION BY skeleton_id ORDER BY seq) AS running FROM runs WHERE grp = 'prompt') WHERE running >= 3")
+@query(f"WITH {_PROMPT_RUNS} SELECT seq, skeleton_id, running FROM (SELECT seq, skeleton_id, count(*) OVER (PARTITION BY skeleton_id ORDER BY seq) AS running FROM runs WHERE grp = 'prompt') WHERE running >= 3")
 def recurrence_nudges(spark, sf_dir):
     """W11."""
-    return runs.nudges(_run_events(spark, sf_dir))
+    return runs.nudges(_prompt_events(spark, sf_dir))
 
 
 _ACTION_LIST = ", ".join(f"CASE WHEN {_SAYS(w)} > 0 THEN {sql_string(a)} END" for w, a in runs.ACTIONS)
@@ -455,10 +462,10 @@ def token_deltas(spark, sf_dir):
 _TOP = "SELECT skeleton_id, count(*) AS n FROM runs WHERE grp = 'prompt' GROUP BY skeleton_id HAVING count(*) > 1 ORDER BY n DESC, skeleton_id LIMIT 5"
 
 
-@query(f"WITH {_RUNS}, k AS ({_SK}), c AS (SELECT {_COUNTERS} FROM runs) SELECT total_warnings, {', '.join(runs.WARNING_CLASSES)}, (SELECT coalesce(sum(n - 1), 0)::bigint FROM k) AS repeated_prompt_skeletons, (SELECT coalesce(string_agg(skeleton_id, ',' ORDER BY n DESC, skeleton_id), '') FROM ({_TOP})) AS top_skeletons FROM c")
+@query(f"WITH {_PROMPT_RUNS}, k AS ({_SK}), c AS (SELECT {_COUNTERS} FROM runs) SELECT total_warnings, {', '.join(runs.WARNING_CLASSES)}, (SELECT coalesce(sum(n - 1), 0)::bigint FROM k) AS repeated_prompt_skeletons, (SELECT coalesce(string_agg(skeleton_id, ',' ORDER BY n DESC, skeleton_id), '') FROM ({_TOP})) AS top_skeletons FROM c")
 def coaching_snapshot(spark, sf_dir):
     """A16."""
-    return runs.coaching(_run_events(spark, sf_dir)).withColumn("top_skeletons", F.array_join("top_skeletons", ","))
+    return runs.coaching(_prompt_events(spark, sf_dir)).withColumn("top_skeletons", F.array_join("top_skeletons", ","))
 
 
 @query(
@@ -571,17 +578,16 @@ def arm_reductions(spark, sf_dir):
 
 @query(
     f"""WITH o AS ({_OUTPUTS}), j AS (SELECT a.arm, p.prompt_idx FROM (SELECT DISTINCT conv_id AS prompt_idx FROM conversations) p, (SELECT unnest(['assistant', 'user']) AS arm) a)
-SELECT j.arm, md5(string_agg(coalesce(o.output, ''), '|' ORDER BY j.prompt_idx)) AS digest, count(*) AS n FROM j LEFT JOIN o USING (arm, prompt_idx) GROUP BY j.arm"""
+SELECT j.arm, j.prompt_idx, coalesce(o.output, '') AS output FROM j LEFT JOIN o USING (arm, prompt_idx)"""
 )
 def arm_matrix(spark, sf_dir):
     """A18, J8."""
     p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("prompt_idx")).distinct()
-    m = evals.arm_matrix(_outputs(spark, sf_dir), p, rows(spark, "arm string", [(a,) for a in _ARMS]))
-    return m.select("arm", F.md5(F.array_join("outputs", "|")).alias("digest"), F.size("outputs").cast("long").alias("n"))
+    return evals.arm_matrix(_outputs(spark, sf_dir), p, rows(spark, "arm string", [(a,) for a in _ARMS]))
 
 
 @query(
-    f"""WITH d AS (SELECT lang, {S.tokens('text')} AS eb, len(string_split(text, ' ')) AS rb, {S.tokens('substr(text, 1, 500)')} AS ea, len(string_split(substr(text, 1, 500), ' ')) AS ra FROM documents WHERE text IS NOT NULL),
+    f"""WITH d AS (SELECT lang, {S.tokens('text')} AS eb, len(string_split(text, ' ')) AS rb, {S.tokens(S.trim(S.squeeze('text')))} AS ea, len(string_split({S.trim(S.squeeze('text'))}, ' ')) AS ra FROM documents WHERE text IS NOT NULL),
 r AS (SELECT abs((eb - rb)::double / rb * 100) AS e, abs((CASE WHEN eb > 0 THEN (1 - ea::double / eb) * 100 ELSE 0 END) - (1 - ra::double / rb) * 100) AS b FROM d)
 SELECT 'est_err_pct' AS metric, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(max(e), 6) AS greatest FROM r UNION ALL SELECT 'ratio_bias_pp', round(avg(b), 6), round(median(b), 6), round(max(b), 6) FROM r"""
 )
@@ -589,8 +595,8 @@ def calibration(spark, sf_dir):
     """A13, with space-separated words as the real counts."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     words = lambda c: F.size(F.split(c, " ", -1)).cast("long")
-    head = F.substring("text", 1, 500)
-    d = d.select(F.col("doc_id").alias("name"), T.estimate_tokens("text").alias("est_before"), words(F.col("text")).alias("real_before"), T.estimate_tokens(head).alias("est_after"), words(head).alias("real_after"))
+    short = T.trim(T.squeeze(F.col("text")))
+    d = d.select(F.col("doc_id").alias("name"), T.estimate_tokens("text").alias("est_before"), words(F.col("text")).alias("real_before"), T.estimate_tokens(short).alias("est_after"), words(short).alias("real_after"))
     s = evals.calibration_summary(evals.calibration(d))
     return s.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "median", "greatest")])
 

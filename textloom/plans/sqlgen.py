@@ -153,14 +153,14 @@ def fnv1a(x: str) -> str:
     return f"lpad(lower(to_hex(CASE WHEN length({x}) = 0 THEN 2166136261 ELSE list_reduce(list_concat([2166136261::bigint], {codes}), lambda h, c: (xor(h, c) * 16777619) & 4294967295) END)), 8, '0')"
 
 
-def runs() -> str:
-    """The run-event CTEs (``runs``) out of conversations."""
+def runs(source: str = "conversations") -> str:
+    """The run-event CTEs (``runs``) out of conversation turns."""
     text = "coalesce(text, '')"
-    head = f"lower(substr({trim(squeeze('text'))}, 1, 24))"
+    squeezed = trim(squeeze("text"))
     return f"""
-s0 AS (SELECT conv_id * 1000 + turn AS seq, role, {text} AS text FROM conversations),
+s0 AS (SELECT conv_id * 1000 + turn AS seq, role, {text} AS text FROM {source}),
 {cache_ctes('s0')},
 runs AS (SELECT seq, CASE role WHEN 'user' THEN 'chatOptimize' WHEN 'assistant' THEN 'chatCompress' ELSE 'reviewDiff' END AS command_key,
-  CASE WHEN role = 'user' THEN 'prompt' ELSE 'selection' END AS grp, CASE WHEN role = 'user' THEN 'psk_' || {fnv1a(head)} END AS skeleton_id,
-  {tokens('text')} AS before_tokens, {tokens(trim(squeeze('substr(text, 1, 400)')))} AS after_tokens,
+  CASE WHEN role = 'user' THEN 'prompt' ELSE 'selection' END AS grp, CASE WHEN role = 'user' THEN 'psk_' || {fnv1a(f'lower({squeezed})')} END AS skeleton_id,
+  {tokens('text')} AS before_tokens, {tokens(squeezed)} AS after_tokens,
   CASE WHEN role = 'user' THEN 'prompt-only' ELSE 'selected-text' END AS context_type, {warnings()} AS warnings FROM cached)"""
