@@ -311,7 +311,7 @@ def anonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_"))
     hits = stored(docs.where(has).select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"), rest.alias("rest")), "pii-hits")
     found = stored(entities(hits.select("uid", "text")), "pii-entities")
-    table = small(surrogates(found, key))
+    table = small(surrogates(found, key), 200_000)  # rows of up to a few hundred bytes
     new = F.concat("lead", _laid_out(F.col("form"), F.col("type"), F.col("surrogate")))
     name = F.when(F.col("type").startswith("name_"), F.struct("canon", "surrogate"))
     placed = found.join(table, ["type", "canon"]).select("uid", "pos", "part", new.alias("new"), name.alias("name"))
