@@ -510,3 +510,29 @@ def test_inline_paths(spark):
     df = spark.createDataFrame(list(cases.items()), "text string, want string")
     got = {r.text: r.path for r in df.select("text", prompt.inline_path(F.col("text")).alias("path")).collect()}
     assert got == cases
+
+
+def test_word_edges_equal_the_plain_ones(spark):
+    """The shorter forms of a word boundary find what Python finds, for every rule that has one."""
+    patterns = [r"\bmaybe\s+", r"\b(fix|up(date)?|a?b)\b", r"\b(?:it|th[ei]s)\b", r"x\b", r"\bx?y\b", r"a\b|\bb", r"\b(get|set)ters?\b", r"\d\b", r"\b\d+\b", r"ab\b\.", r"\b_a", r"(a|\()\b", r"\b(a|)b", r"[a-c]\bd?"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab_x y.é1(fixthe") for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["fix", "a maybe b", "xmaybe b", "update", "this", "getters", "the\nmaybe x"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[F.col("t").rlike(regex.java(p)).alias(f"p{k}") for k, p in enumerate(patterns)])
+    for r in d.collect():
+        for k, p in enumerate(patterns):
+            assert r[f"p{k}"] == bool(re.search(p, r.t, re.A)), (p, r.t)
+
+
+def test_tier_hints_miss_no_match():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    for rules, _ in advisor.SIGNALS:
+        for pattern, label in rules:
+
+            @settings(max_examples=60, deadline=None, database=None)
+            @given(st.from_regex(re.compile(pattern, re.A), fullmatch=True))
+            def check(text):
+                assert any(h in text for h in advisor.HINTS[label]), (pattern, text)  # noqa: B023
+
+            check()

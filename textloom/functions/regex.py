@@ -8,6 +8,8 @@ space and line ends, ASCII word boundaries, ``.`` and ``$``.
 
 from __future__ import annotations
 
+import re
+
 #: ECMAScript white space and line terminators as the inside of a character class.
 _SPACE = {
     "java": r"\t\n\x0B\f\r \xA0  -     　﻿",
@@ -20,6 +22,31 @@ ANY_CHARACTER = {"java": r"[\x{0}-\x{10FFFF}]", "re2": "(?s:.)", "py": "(?s:.)"}
 _WORD, _DIGIT = "A-Za-z0-9_", "0-9"
 
 
+def _starts_with_word(pattern: str, i: int) -> bool:
+    """Does the pattern ask for a plain word character at ``i``, for certain?"""
+    return pattern[i : i + 1].isascii() and pattern[i : i + 1].isalnum() and pattern[i + 1 : i + 2] not in ("?", "*", "{")
+
+
+def _known_edge(pattern: str, at: int) -> str | None:
+    """What a word boundary at ``at`` comes down to where a neighbour is known to be a word character:
+    the other neighbour must not be one. "first" says that the next character is a plain one."""
+    if at and pattern[at - 1].isascii() and pattern[at - 1].isalnum() and pattern[at - 2 : at - 1] != "\\":
+        return f"(?![{_WORD}])"
+    i = at + 2
+    if _starts_with_word(pattern, i):
+        return "first"
+    group = re.match(r"\((?:\?:)?((?:[^()\\\[\]]|\\.|\[[^\]]*\]|\((?:[^()\\\[\]]|\\.|\[[^\]]*\])*\))*)\)(.?)", pattern[i:])
+    if group and group[2] not in ("?", "*", "{"):
+        depth, starts = 0, [0]
+        for k, c in enumerate(group[1]):
+            depth += (c == "(") - (c == ")")
+            if c == "|" and depth == 0:
+                starts.append(k + 1)
+        if all(_starts_with_word(group[1], k) for k in starts):
+            return f"(?<![{_WORD}])"
+    return None
+
+
 def _translate(pattern: str, to: str, flags: str) -> str:
     out, i, inside = [], 0, False
     while i < len(pattern):
@@ -35,7 +62,13 @@ def _translate(pattern: str, to: str, flags: str) -> str:
                 body = _WORD if e in "wW" else _DIGIT
                 out.append(body if inside and e.islower() else f"[{'^' if e.isupper() else ''}{body}]")
             elif e in "bB" and not inside:
-                if to == "java":
+                known = _known_edge(pattern, i - 2) if e == "b" and to == "java" else None
+                if known == "first":  # the character is asked first: most places fail there
+                    out.append(f"{pattern[i]}(?<![{_WORD}].)")
+                    i += 1
+                elif known:
+                    out.append(known)
+                elif to == "java":
                     edge = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
                     out.append(edge if e == "b" else rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))")
                 elif to == "py":

@@ -58,6 +58,19 @@ BATCH = [
     (r"\b(classify|translate)\b", "classify/translate at scale"),
 ]
 SIGNALS = [(ECONOMY, "cheap/mechanical"), (PREMIUM, "needs reasoning"), (LOCAL, "local transform"), (BATCH, "bulk/offline")]
+#: Literals of which a match of the label's pattern holds one: texts without them skip the pattern.
+HINTS = {
+    "rename": ("renam",), "typo fix": ("typo",), "formatting": ("format",), "boilerplate": ("boilerplate",), "getter/setter": ("getter", "setter"),
+    "doc comment": ("jsdoc", "docstring", "doc comment"), "imports": ("import",), "add logging": ("log",), "lint": ("lint",), "indentation": ("indent",),
+    "one-liner": ("liner",), "stub": ("stub",), "spelling": ("spelling",), "self-described simple": ("simple",),
+    "refactor": ("refactor",), "architecture": ("architect",), "debugging": ("debug",), "race condition": ("race condition",), "concurrency": ("concurren",),
+    "deadlock": ("deadlock",), "memory leak": ("memory leak",), "design": ("design",), "migration": ("migrat",), "security": ("security",),
+    "performance": ("performance",), "optimization": ("optimi",), "algorithm": ("algorithm",), "root-cause analysis": ("root cause",), 'diagnostic "why…"': ("why ",),
+    "multi-file": ("file",), "trade-off reasoning": ("trade",), "distributed system": ("distributed",),
+    "compress": ("compress",), "outline": ("outline",), "extract": ("extract",), "redact": ("redact",), "shorten output/context": ("shorten", "trim", "tidy", "condense"),
+    "bulk/batch": ("bulk", "batch"), "every/all files": ("file",), "for-each": ("for each",), "large dataset": ("dataset", "thousands", "corpus"),
+    "classify/translate at scale": ("classify", "translate"),
+}
 LARGE_SELECTION = 2000
 NO_SIGNAL = "no strong signal either way — defaulting to standard"
 CONCISE_ALIASES, CONCISE_LEVELS, CONCISE_DEFAULT = {"ultra": "full"}, ["lite", "full"], "full"
@@ -67,7 +80,7 @@ def classify_task(text, selection_length=None):
     """Struct tier, routing, reasons, economy_score, premium_score."""
     said = F.lower(F.coalesce(text, F.lit("")))
     size = F.coalesce(selection_length, F.lit(0)) if selection_length is not None else F.lit(0)
-    found = {name: F.array_compact(F.array(*[F.when(T.test(said, p), F.lit(f"{name}: {label}")) for p, label in rules])) for rules, name in SIGNALS}
+    found = {name: F.array_compact(F.array(*[F.when(T.test(said, p, "", HINTS[label]), F.lit(f"{name}: {label}")) for p, label in rules])) for rules, name in SIGNALS}
     cheap, reasoning, local, bulk = found
     large = size > LARGE_SELECTION
     note = F.when(large, F.array(F.concat(F.lit("large selection ("), size.cast("string"), F.lit(" chars) to reason over")))).otherwise(F.array().cast("array<string>"))
