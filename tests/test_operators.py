@@ -369,7 +369,7 @@ def test_redaction_leaves_no_match(spark):
 
 
 def test_custom_rules(spark):
-    rules = secrets.with_custom([{"name": "Ticket", "regex": r"TCK-\d{6}"}, {"name": "bad", "regex": "("}])
+    rules = secrets.with_custom([{"name": "Ticket", "regex": r"TCK-\d{6}"}, {"name": "bad", "regex": "("}, {"name": "python", "regex": "(?P<x>a)"}, {"name": "none"}, {"regex": "a"}, {"name": "cut", "regex": "a\\"}])
     got = secrets.protect(rows(spark, "text string", [("see TCK-123456",)]), rules=rules).first()
     assert got.output == "see [REDACTED_TICKET]" and got.findings[0].id == "ticket" and len(rules) == len(secrets.RULES) + 1
 

@@ -84,3 +84,10 @@ def test_references(spark):
     d = spark.createDataFrame([(" ", refs)], "s string, r array<struct<id:string,range:string,text:string>>")
     got = d.select(files.intentional_references(F.col("r")).alias("r"), "s").select(F.size("r"), files.editor_context(F.col("s"), F.col("r"))).first()
     assert tuple(got) == (3, "text")
+
+
+def test_state_is_written_merged(spark, tmp_path):
+    path, table = str(tmp_path / "state"), lambda rows: spark.createDataFrame(rows, "k string, v long")
+    files.write_state(path, spark, table([("a", 1), ("b", 1)]), "k")
+    files.write_state(path, spark, table([("b", 2), ("c", 2)]), "k")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 2)]

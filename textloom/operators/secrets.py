@@ -10,7 +10,9 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -50,13 +52,24 @@ LARGEST = 524_288
 NEVER = r"\A(?!)"
 
 
+def _compiles(pattern) -> bool:
+    """Can Spark's engine take the pattern? Without a session Python's has to do."""
+    try:
+        text, spark = java(pattern), SparkSession.getActiveSession()
+        if spark is None:
+            re.compile(text)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(text)
+        return True
+    except (re.error, TypeError, AttributeError, IndexError, ValueError, Py4JJavaError, PySparkException):
+        return False
+
+
 def with_custom(custom: list[dict]) -> list[tuple]:
     """K9: the rules and the user's ({name, regex}); a pattern that doesn't compile is left out."""
     out = list(RULES)
     for rule in custom:
-        try:
-            re.compile(rule["regex"])
-        except (re.error, KeyError, TypeError):
+        if not _compiles(rule.get("regex")) or not rule.get("name"):
             continue
         name = re.sub(r"[^A-Za-z0-9]+", "_", rule["name"]).strip("_")
         out.append((name.lower().replace("_", "-"), rule["regex"], f"[REDACTED_{name.upper()}]", ()))

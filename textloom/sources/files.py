@@ -113,3 +113,15 @@ def merge_state(path: str, spark: SparkSession, new: DataFrame, key: str) -> Dat
     """The state table with new rows in place of those of the same key."""
     old = spark.read.schema(new.schema).parquet(path)
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def write_state(path: str, spark: SparkSession, new: DataFrame, key: str) -> None:
+    """Merge new rows into the state table and put the result in its place; no table yet is an
+    empty one. The merged table is whole before the old one goes."""
+    target, next_ = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.next"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    merged = merge_state(path, spark, new, key) if fs.exists(target) else new
+    merged.write.mode("overwrite").parquet(next_.toString())
+    fs.delete(target, True)
+    if not fs.rename(next_, target):
+        raise OSError(f"{next_.toString()} couldn't be put in the place of {path}")
