@@ -244,6 +244,21 @@ def test_dispatch(spark):
     assert got["a.ts"].output == "function f() { /* … */ }" and "omitted" in got["d"].output and got["l.log"].output == "Error: x"
 
 
+def test_optimize_runs_no_compressor_that_it_cannot_choose(spark):
+    data = rows(spark, "doc_id long, text string, filename string", [(1, DIFF, None), (2, '{"a":null,"b":1}', None), (3, " \n Plain one \nx", None), (4, "Error: x\nok", None), (5, "# c\nx", "a.py"), (6, None, None)])
+    optimized = select.optimize(data)
+    got = [(r.kind, r.output) for r in optimized.orderBy("doc_id").collect()]
+    assert got[0][0] == "diff" and "omitted" in got[0][1]
+    assert got[1:] == [("json", '{"b":1}'), ("selected-text", "Selected text (3 lines): Plain one."), ("stack-trace", "Error: x"), ("code", "x"), ("selected-text", None)]
+    assert optimized._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1  # JSON alone; no outline, no prose
+
+
+def test_diff_lines_with_control_characters(spark):
+    text = "diff --git a/x.ts b/x.ts\n+a\u0001b\n c\ndiff --git a/yarn.lock b/yarn.lock\n+1\u0001\n-2\n--- q"
+    got = diff.compress(rows(spark, "text string", [(text,)])).first().output
+    assert got == "diff --git a/x.ts b/x.ts\n+a\u0001b\ndiff --git a/yarn.lock b/yarn.lock\n  (yarn.lock: 2 changed line(s) omitted — lock/generated/binary file)"
+
+
 def test_explain(spark):
     small = "// why\nconst a = 1;"
     big = "\n".join(f"function f{i}() {{\n  return {i}; // {'x' * 20}\n}}" for i in range(150))

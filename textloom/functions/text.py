@@ -22,7 +22,9 @@ WS_RE2 = _SPACE["re2"]
 def u16_length(text) -> Column:
     """Length in UTF-16 units: code points, plus one for each beyond the basic plane. (§1.2)"""
     text = F.col(text) if isinstance(text, str) else text
-    return (F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("long")
+    # as many bytes as code points: ASCII alone; else whole runs are cut, not single characters
+    beyond = F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]++", "")))
+    return (F.length(text) + beyond).cast("long")
 
 
 def estimate_tokens(text) -> Column:

@@ -16,6 +16,8 @@ from textloom.operators.output import with_savings
 #: Files whose changes are noise, and lines of file data.
 NOISE_FILE = (r"(package-lock\.json|yarn\.lock|pnpm-lock\.ya?ml|composer\.lock|Cargo\.lock|go\.sum|poetry\.lock|Gemfile\.lock|\.min\.(js|css)|\.map|\.snap)$|(^|\/)(__snapshots__|dist|build)\/", "i")
 FILE_META = (r"^(index |--- |\+\+\+ |new file |deleted file |old mode |new mode |rename |copy |similarity |dissimilarity |Binary files )", "")
+#: Literals of which the path of a noise file holds one, in lower case.
+NOISE_HINTS = ("lock", "go.sum", ".min.", ".map", ".snap", "__snapshots__/", "dist/", "build/")
 GIT_PATH = r"^diff --git a\/(.+?) b\/(.+)$"
 PLUS_PATH = r"^\+\+\+\s+b\/(.+)$"
 #: Fixed values: (type, risk, pattern), the first that fits; else code, medium.
@@ -51,27 +53,32 @@ def risk_rank(risk):
     return T.first_case([(risk == r, n) for r, n in RANK.items()], 0)
 
 
-def _changed(line):
-    return (line.startswith("+") & ~line.startswith("+++")) | (line.startswith("-") & ~line.startswith("---"))
+def _git_path(line):
+    """The second group of GIT_PATH by plain search, empty where the pattern doesn't fit."""
+    at = F.locate(" b/", line, len("diff --git a/") + 2)
+    fits = line.startswith("diff --git a/") & (at > 0) & (F.translate(line, "\r\u2028\u2029", "") == line)
+    return F.when(fits, F.substr(line, at + 3)).otherwise(F.lit(""))
 
 
 def compress(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Headers and changed lines; a noise file becomes one line that counts its changes."""
-    # a mark before each "diff --git" line cuts the text into sections; text before the first is its own
-    sections = F.split(F.regexp_replace(F.col(text_col), r"(?:(?<=\n)|\A)(?=diff --git)", "\u0001"), "\u0001", -1)
+    """Headers and changed lines; a noise file becomes one line that counts its changes.
+
+    Lines go by one pattern over the whole text; only texts that may hold a noise file are cut
+    into sections, at their "diff --git" lines (text before the first is its own).
+    """
+    other = rf"\n(?: |(?![+-]|@@|diff --git|{java(FILE_META[0]).removeprefix('^')}))[^\n]*+"
+    df = df.withColumn("_kept", F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col)), other, "")).withColumn("_low", F.lower("_kept"))
 
     def section(s):
-        lines = F.split(F.regexp_replace(s, r"\n\z", ""), "\n", -1)
-        path = F.regexp_extract(F.get(lines, F.lit(0)), java(GIT_PATH), 2)
-        headed = s.startswith("diff --git")
-        omitted = F.size(F.filter(lines, lambda x, i: (i > 0) & _changed(x)))
-        noise = F.concat(F.get(lines, F.lit(0)), F.lit("\n  ("), path, F.lit(": "), omitted.cast("string"), F.lit(" changed line(s) omitted — lock/generated/binary file)"))
-        keep = lambda x, i: ((i == 0) & headed) | x.startswith("@@") | T.test(x, *FILE_META) | x.startswith("+") | x.startswith("-")
-        return F.when(headed & T.test(path, *NOISE_FILE), noise).otherwise(F.array_join(F.filter(lines, keep), "\n"))
-
-    joined = F.array_join(F.filter(F.transform(sections, section), lambda s: s != ""), "\n")
-    df = df.withColumn(f"{prefix}output", T.trim(F.regexp_replace(joined, r"\n{3,}", "\n\n")))
-    return with_savings(df, text_col, prefix)
+        head = F.substring_index(s, "\n", 1)
+        path = _git_path(head)
+        omitted = F.regexp_count(s, F.lit(r"\n(?:\+(?!\+\+)|-(?!--))"))
+        noise = F.concat(head, F.lit("\n  ("), path, F.lit(": "), omitted.cast("string"), F.lit(" changed line(s) omitted — lock/generated/binary file)"))
+        return F.when(T.test(path, *NOISE_FILE), noise).otherwise(s)
+
+    sections = F.split("_kept", r"\n(?=diff --git)", -1)
+    shown = F.when(T.hinted(F.col("_low"), "", NOISE_HINTS), F.array_join(F.transform(sections, section), "\n")).otherwise(F.col("_kept"))
+    return with_savings(df.withColumn(f"{prefix}output", T.trim(shown)), text_col, prefix).drop("_kept", "_low")
 
 
 def diff_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

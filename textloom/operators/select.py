@@ -14,6 +14,7 @@ from textloom.operators.output import with_savings
 
 #: Fixed values.
 MODES = ["json", "code", "output", "instructions", "outline", "diff"]
+OPTIMIZED = ["code", "json", "output", "diff"]
 MODE_BY_EXTENSION = {"json": "json", "md": "instructions", "markdown": "instructions", "log": "output", "txt": "output"}
 CODE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "py", "go", "c", "cpp", "h", "hpp", "sh", "bash"]
 STACK_FRAME = (r"^\s*at\s+.+:\d+:\d+\)?$", "m", tuple(f":{d}" for d in range(10)))
@@ -88,21 +89,31 @@ def selection_warnings(kind):
 def compress(df: DataFrame, text_col: str = "text", filename_col: str = "filename", mode_col: str | None = None) -> DataFrame:
     """Each row by its mode (given, or from the file name). Adds mode, output, language,
     before_tokens, after_tokens, ratio and error; an unknown mode is an error, with no output.
+    """
+    return _compress(df, text_col, filename_col, mode_col, MODES)
+
+
+def _compress(df: DataFrame, text_col: str, filename_col: str, mode_col: str | None, modes: list[str]) -> DataFrame:
+    """C0 where no other mode than ``modes`` has a compressor to run.
 
     Every compressor sees null where another mode applies, so no row pays for two.
     """
     mode = F.coalesce(F.col(mode_col) if mode_col else F.lit(None), mode_of(F.col(filename_col)))
     df = df.withColumn("mode", mode)
     at = lambda m: F.when(F.col("mode") == m, F.col(text_col))
-    df = df.withColumn("_o", at("output"))
-    df = output.compress(df, "_o", "_output_")
-    df = code.compress(df.withColumn("_o", at("code")), "_o", filename_col, prefix="_code_")
-    df = diff.compress(df.withColumn("_o", at("diff")), "_o", "_diff_")
-    df = structured.compress(df.withColumn("_o", at("json")), "_o", "_json_")
-    df = instructions.compress(df.withColumn("_o", at("instructions")), "_o", "_instructions_")
-    df = code.outline(df.withColumn("_o", at("outline")), "_o", filename_col, "_outline_")
-    out = T.first_case([(F.col("mode") == m, F.col(f"_{m}_output")) for m in MODES], F.lit(None).cast("string"))
-    language = T.first_case([(F.col("mode") == m, F.col(f"_{m}_language")) for m in ("code", "outline")], F.lit(None).cast("string"))
+    compressors = {
+        "output": lambda d, p: output.compress(d, "_o", p),
+        "code": lambda d, p: code.compress(d, "_o", filename_col, prefix=p),
+        "diff": lambda d, p: diff.compress(d, "_o", p),
+        "json": lambda d, p: structured.compress(d, "_o", p),
+        "instructions": lambda d, p: instructions.compress(d, "_o", p),
+        "outline": lambda d, p: code.outline(d, "_o", filename_col, p),
+    }
+    for m in compressors:
+        if m in modes:
+            df = compressors[m](df.withColumn("_o", at(m)), f"_{m}_")
+    out = T.first_case([(F.col("mode") == m, F.col(f"_{m}_output")) for m in modes], F.lit(None).cast("string"))
+    language = T.first_case([(F.col("mode") == m, F.col(f"_{m}_language")) for m in ("code", "outline") if m in modes], F.lit(None).cast("string"))
     error = F.when(~is_mode(F.col("mode")), F.lit("unknown compression mode; use one of: " + ", ".join(MODES))).otherwise(F.col("_json_error"))
     df = df.withColumn("output", out).withColumn("language", language).withColumn("error", error)
     df = df.drop("_o", *[c for c in df.columns if any(c.startswith(f"_{m}_") for m in MODES)])
@@ -111,19 +122,28 @@ def compress(df: DataFrame, text_col: str = "text", filename_col: str = "filenam
     return df.withColumn("after_tokens", F.when(~bad, F.col("after_tokens"))).withColumn("ratio", F.when(~bad, F.col("ratio")))
 
 
+def _first_line(text):
+    """The first line that isn't blank, trimmed; null if there is none."""
+    return F.nullif(T.trim(F.substring_index(T.trim(text), "\n", 1)), F.lit(""))
+
+
+def _line_summary(what: str, n, first):
+    return F.concat(F.lit(f"Selected {what} ("), n, F.lit(" lines): "), T.truncate_preview(first), F.lit("."))
+
+
 def summaries(df: DataFrame, text_col: str = "text", filename_col: str | None = None) -> DataFrame:
     """Adds kind and a one-line summary, row by row."""
     text = F.col(text_col)
     df = df.withColumn("kind", kind_of(text, F.col(filename_col) if filename_col else None)).withColumn("_lines", T.lines(text))
     bare = F.filter(F.transform("_lines", T.trim), lambda x: x != "")
-    first = F.get(bare, F.lit(0))
+    first = _first_line(text)
     error = F.coalesce(F.get(F.filter(bare, lambda x: T.test(x, *ERROR_WORD)), F.lit(0)), first, F.lit("Stack trace selected."))
     frames = F.transform(F.slice(F.filter(F.transform("_lines", T.trim), lambda x: T.test(x, *STACK_FRAME)), 1, 3), lambda x: T.truncate_preview(x, 90))
-    n = F.size("_lines").cast("string")
     stack = F.when(F.size(frames) > 0, F.concat(F.lit("Selected stack trace: "), T.truncate_preview(error), F.lit(" Frames: "), F.array_join(frames, " | "), F.lit("."))).otherwise(
         F.concat(F.lit("Selected error output: "), T.truncate_preview(error), F.lit("."))
     )
-    line = lambda what, fallback: F.concat(F.lit(f"Selected {what} ("), n, F.lit(" lines): "), T.truncate_preview(F.coalesce(first, F.lit(fallback))), F.lit("."))
+    n = F.size("_lines").cast("string")
+    line = lambda what, fallback: _line_summary(what, n, F.coalesce(first, F.lit(fallback)))
     own = T.first_case(
         [
             (F.col("kind") == "stack-trace", stack),
@@ -140,15 +160,16 @@ def summaries(df: DataFrame, text_col: str = "text", filename_col: str | None =
 
 
 def optimize(df: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:
-    """Kind, output, token columns and warnings."""
-    df = summaries(df, text_col, filename_col)
-    mode = T.first_case([(F.col("kind").isin("code", "json", "output", "diff"), F.col("kind")), (F.col("kind") == "stack-trace", F.lit("output"))], F.lit(None).cast("string"))
-    df = df.withColumn("_mode", F.coalesce(mode, F.lit("none"))).withColumn("_summary", F.col("summary")).drop("summary")
-    df = compress(df, text_col, filename_col, "_mode").drop("mode")
+    """Kind, output, token columns and warnings. Plain text alone is summarised."""
+    text = F.col(text_col)
+    df = df.withColumn("kind", kind_of(text, F.col(filename_col)))
+    mode = T.first_case([(F.col("kind").isin(*OPTIMIZED), F.col("kind")), (F.col("kind") == "stack-trace", F.lit("output"))], F.lit("none"))
+    df = _compress(df.withColumn("_mode", mode), text_col, filename_col, "_mode", OPTIMIZED).drop("mode")
     none = F.col("_mode") == "none"
-    df = df.withColumn("output", F.when(none, F.col("_summary")).otherwise(F.col("output"))).withColumn("error", F.when(~none, F.col("error")))
+    summary = _line_summary("text", F.size(T.lines(text)).cast("string"), F.coalesce(_first_line(text), F.lit("Selected text")))
+    df = df.withColumn("output", F.when(none, summary).otherwise(F.col("output"))).withColumn("error", F.when(~none, F.col("error")))
     df = df.withColumn("warnings", F.when(none, selection_warnings(F.col("kind"))).otherwise(F.array().cast("array<string>")))
-    return with_savings(df, text_col).drop("_mode", "_summary")
+    return with_savings(df, text_col).drop("_mode")
 
 
 def explain(df: DataFrame, text_col: str = "text", filename_col: str = "filename") -> DataFrame:

@@ -48,12 +48,16 @@ PATHS = ["src/auth/login.ts", "package-lock.json", "docs/guide.md", "tests/a.spe
 
 def diffs(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
-    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("l_partkey") % len(PATHS) + 1).cast("int"))
-    named = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,3 +1,4 @@\n context line\n"))
-    plus, minus = F.repeat(F.concat(F.lit("+new "), F.col("l_partkey").cast("string"), F.lit("\n")), (F.col("q") % 4).cast("int")), F.repeat(F.lit("-old\n"), (F.col("q") % 3).cast("int"))
-    li = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "q", F.concat(named, plus, minus, F.lit(" more")).alias("t")).alias("x"))
-    grouped = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("l"))
-    return grouped.select(F.col("l_orderkey").alias("id"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+    heads = F.array(*[F.lit(f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n@@ -1,3 +1,4 @@\n context line\n") for p in PATHS])
+
+    def part(x):
+        head = F.element_at(heads, (x["l_partkey"] % len(PATHS) + 1).cast("int"))
+        plus = F.repeat(F.concat(F.lit("+new "), x["l_partkey"].cast("string"), F.lit("\n")), (x["q"] % 4).cast("int"))
+        return F.concat(head, plus, F.repeat(F.lit("-old\n"), (x["q"] % 3).cast("int")), F.lit(" more"))
+
+    # texts are made after the grouping, which moves and sorts numbers alone
+    grouped = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "q"))).alias("l"))
+    return grouped.select(F.col("l_orderkey").alias("id"), F.array_join(F.transform("l", part), "\n").alias("text"))
 
 
 _PATH_SQL = "['" + "','".join(PATHS) + f"'][(l_partkey % {len(PATHS)} + 1)::int]"
