@@ -137,6 +137,39 @@ def test_repair_goes_on_until_no_pair_is_left():
     assert (token_files.expand(symbols, rules, base) == ids).all()
 
 
+@pytest.mark.parametrize("n", [2, 15, 16, 40, 4096, 30_001])
+def test_repair_halves_runs(n):
+    """A run of one symbol shrinks by half a round, whatever its neighbours, until 16 pairs are no more."""
+    ids = np.array([*[5] * n, 6, *[5] * n, 6])
+    ends = np.arange(len(ids)) == len(ids) - 1
+    symbols, last, rules, base = token_files.repair(ids, ends, least=0.0)
+    assert (token_files.expand(symbols, rules, base) == ids).all() and last.tolist() == [False] * (len(symbols) - 1) + [True]
+    assert len(symbols) < 80 and len(rules) < 40
+
+
+@pytest.mark.parametrize("kinds, least", [(3, 1), (700, 5), (40_000, 3), (40_000, 16), (10, 10**6)])
+def test_pairs_are_counted_exactly(kinds, least):
+    rng = np.random.default_rng(kinds)
+    key = rng.integers(0, 50_000, kinds)[rng.integers(0, kinds, 200_000)] << 32 | 17
+    value, count = np.unique(key, return_counts=True)
+    found, places, which = token_files._frequent(key, least)
+    assert found.tolist() == value[count >= least].tolist()
+    assert places.tolist() == np.flatnonzero(np.isin(key, found)).tolist() and (found[which] == key[places]).all()
+
+
+def test_first_round_takes_the_most_frequent_pairs():
+    """As many kinds of pairs as a table of hashed counts would mix up."""
+    rng = np.random.default_rng(4)
+    ids = rng.zipf(1.3, 400_000) % 30_000
+    ends = rng.random(len(ids)) < 0.01
+    ends[-1] = True
+    inside = ~ends[:-1]
+    pair, count = np.unique((ids[:-1] << 32 | ids[1:])[inside], return_counts=True)
+    best = pair[np.lexsort((pair, -count))[:300]]
+    rules = token_files.repair(ids, ends, per_round=300, least=2.0)[2]
+    assert len(rules) > 200 and set((rules[:, 0] << 32 | rules[:, 1]).tolist()) <= set(best.tolist())
+
+
 def test_rules_stay_inside_documents():
     ids, lengths = np.tile([1, 2], 500), np.full(500, 2)
     shard = token_files.Shard(token_files.pack(list(range(500)), lengths, ids))
@@ -223,6 +256,36 @@ def test_word_cache_survives_forgetting():
         assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_words_that_share_a_place_are_encoded_once():
+    encoder = token_files.WordCachedTokenizer(TOKENS.path("byte_bpe_50k.json"))
+    encoder.BITS = 13
+    encoder.forget()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(k, k + 500)) for k in range(0, 2000, 500)]
+    asked, whole = [], encoder._encoded
+    encoder._encoded = lambda words: (asked.append(len(words)), whole(words))[1]
+    want = encoder.encode(texts)
+    for _ in range(4):
+        encoder.encode(texts)
+    asked.clear()
+    again = encoder.encode(texts)
+    assert all((a == b).all() for a, b in zip(want, again)) and sum(asked) < 20
+
+
+def test_classes_are_the_librarys():
+    """Characters that two versions of Unicode class differently: letters here, unassigned there."""
+    from tokenizers import Tokenizer
+
+    path = TOKENS.path("byte_bpe_50k.json")
+    encoder, library = token_files.WordCachedTokenizer(path), Tokenizer.from_file(path)
+    texts = ["\U0004dba0\U000333b3're\n", "\xbd\U000b1056''s1", "\U000be140'll", "a\u0558b \u0558", "a\u088f\u088f1 \u0c5c!", "\u208f\u209d2"]
+    ids, n = encoder.encode(texts)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    every = np.array([c for c in range(0x600) if c != 0x558])
+    encoder._classify(every)
+    reference = token_files.character_classes()
+    assert (encoder.classes[every] == reference[every]).mean() > 0.99
+
+
 def test_other_tokenizer_files_go_through_the_library(tmp_path):
     import json
 
